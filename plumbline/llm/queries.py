@@ -24,6 +24,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.sharding import shard_uniformly
+
+    placed = shard_uniformly(_table(spark, sf_dir, "documents"), 24)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    return placed.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.packing import pack
 
@@ -31,6 +39,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.fingerprints import fingerprint, likeness, packed
+
+    made = fingerprint(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), packed("bins").alias("fingerprint"), packed("edited_bins").alias("edited_fingerprint"), likeness("bins", "edited_bins").alias("near_edited"), likeness("bins", "next_bins").alias("near_next"))
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.sstable import read_tables, write_tables
 
@@ -40,7 +55,9 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_sharding": op3_sharding,
     "op5_packing": op5_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op9_sstable": op9_sstable,
 }
 SQL: dict[str, str] = {}
