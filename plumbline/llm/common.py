@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,7 +45,7 @@ def remove_scratch(spark: SparkSession, path: str) -> None:
 
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows whose texts hold about ``most_bytes`` each, one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > most_bytes:

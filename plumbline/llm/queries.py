@@ -60,6 +60,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.labelled import held_out
+    from plumbline.llm.quality import score_quality, train
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_quality(docs.select("doc_id", "text"), train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.fingerprints import fingerprint, likeness, packed
 
@@ -67,6 +76,15 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), packed("bins").alias("fingerprint"), packed("edited_bins").alias("edited_fingerprint"), likeness("bins", "edited_bins").alias("near_edited"), likeness("bins", "next_bins").alias("near_next"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.labelled import held_out
+    from plumbline.llm.toxicity import score_toxicity, train
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs.select("doc_id", "text"), train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.llm.sstable import read_tables, write_tables
 
@@ -79,7 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_sharding": op3_sharding,
     "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op7_fingerprints": op7_fingerprints,
+    "op8_toxicity": op8_toxicity,
     "op9_sstable": op9_sstable,
 }
 SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
