@@ -98,6 +98,23 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tables(spark, shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plumbline.llm.substring_dedup import plain_words, remove_repeats
+
+    cleaned = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(plain_words().cast("binary"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT rid, i, hash(w[i:i + 34]) AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+g AS (SELECT rid, list(DISTINCT p) AS gone FROM (SELECT rid, unnest(range(i, i + 35)) AS p FROM k JOIN r USING (k)) GROUP BY rid),
+u AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+c AS (SELECT u.rid, string_agg(word, ' ' ORDER BY u.p) FILTER (x.p IS NULL) AS kept, count(x.p) AS n_removed FROM u LEFT JOIN (SELECT rid, unnest(gone) AS p FROM g) x ON u.rid = x.rid AND u.p = x.p GROUP BY u.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN c USING (rid)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -108,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_toxicity": op8_toxicity,
     "op9_sstable": op9_sstable,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-SQL: dict[str, str] = {"op2_decontamination": OP2_SQL}
+SQL: dict[str, str] = {"op2_decontamination": OP2_SQL, "op10_substring_dedup": OP10_SQL}
