@@ -1,18 +1,68 @@
-"""The corpus pipeline: stages that each call one operator."""
+"""The corpus pipeline: five stages over ``documents``, each one operator of the corpus subpackage.
+
+Every stage but the last returns the columns of ``documents`` and works on all that its predecessor kept. Null or
+empty texts, null ids, repeated rows and an empty table go through as the operators define; further columns pass.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm.common import materialise
+from plumbline.llm.decontamination import contaminated_spans
+from plumbline.llm.near_dedup import near_duplicates
+from plumbline.llm.packing import pack
+from plumbline.llm.quality import score_quality, train
+from plumbline.llm.substring_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below 0.7 go. It learns from the labelled rows of ``docs``."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model, score_col="_score").where("_score >= 0.7").drop("_score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8), the document of the least id stays; rows without id stay."""
+    found = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that also start elsewhere lose their words; ``n_chars`` follows the text, and
+    documents that lose all their words go."""
+    left = remove_repeats(docs, window=50, removed_col="_removed", words_col="_words")
+    kept = left.where("_removed = 0 or _removed < _words")
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
-STAGES: list = []
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item, or all of a shorter one, go."""
+    found = contaminated_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("size(items) > 0")
+    hit = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_tag"))
+    return docs.join(hit, same, "left_anti")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in sequences of at most 2048."""
+    import public_tokenizers
+
+    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontamination", decontamination), ("packing", packing)]
+
+#: No SQL: a trained classifier and a tokenizer take part.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    from plumbline.llm.common import materialise
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
