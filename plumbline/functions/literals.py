@@ -73,7 +73,7 @@ def time_literal(value: datetime, kind: T.DataType) -> Column:
     """A temporal literal of the column's own type; no session time zone takes part."""
     if isinstance(kind, T.TimestampType):
         return F.timestamp_micros(F.lit(int((value - datetime(1970, 1, 1, tzinfo=UTC)) / timedelta(microseconds=1))))
-    text = value.isoformat(sep=" ")
+    text = value.isoformat(sep=" ") if isinstance(value, datetime) else value.isoformat()
     return F.lit(text).cast("date" if isinstance(kind, T.DateType) and not isinstance(value, datetime) else "timestamp_ntz")
 
 
