@@ -17,33 +17,38 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_ODD = re.compile(r"\s\s|^\s|\s$")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_MARK = "<|"
+_NEXT_TO_SPACE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ")
+#: White space that is rare enough to send its text the slow way.
+_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def parts(text: str) -> list[str]:
     """The text cut before every single space between two characters that are not white space."""
     if not text:
         return []
-    words = text.split(" ") if not _ODD.search(text) else _CUT.split(text)
-    return words
+    if text[0].isspace() or text[-1].isspace() or any(x in text for x in _NEXT_TO_SPACE) or _RARE.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
 
 
 class WordMemo:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    ``most`` bounds the parts that are held; past it the memo starts afresh. The first part of a text has
-    no space before it and is kept under another key than the rest.
+    The first part of a text has no space before it and is kept under another key than the rest. ``most`` bounds the
+    parts of a generation; past it the generation becomes the old one, from which parts still in use are taken over.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         size = max(vocabulary.values()) + 1
         spaced, ended = np.zeros(size, bool), np.zeros(size, bool)
@@ -52,32 +57,70 @@ class WordMemo:
             ended[i] = token.endswith("</w>")
         self.ended = ended if ended.any() else None
         self.spaced = spaced
+        self.folds = self.ended is not None and self._encode(["AbC"]) == self._encode(["abc"])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode parts that follow a space. Plain ones go to the library joined, and their ids are parted
-        again by the tokens that start with a space (or end a word); a count that differs sends them singly."""
-        plain, odd = [], []
-        for w in words:
-            (plain if (w.isalpha() if self.ended is not None else _MARK not in w and w.isprintable() and w.split() == [w]) else odd).append(w)
-        for at in range(0, len(plain), 8192):
-            some = plain[at : at + 8192]
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters behind a space. They go to the library joined, and their ids are parted again by the
+        tokens that start with a space (or end a word); if the counts differ, they go singly."""
+        found: dict[str, bytes] = {}
+        for at in range(0, len(words), 8192):
+            some = words[at : at + 8192]
             ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(self.spaced[ids]) if self.ended is None else np.flatnonzero(self.ended[ids]) + 1
             if len(cut) != len(some):
-                odd += some
+                found.update(zip(some, self._encode([" " + w for w in some]), strict=True))
                 continue
             cut = np.append(cut, len(ids)) if self.ended is None else np.append(0, cut)
             raw, ends = ids.tobytes(), (cut * 4).tolist()
-            self.rest.update((w, raw[a:b]) for w, a, b in zip(some, ends[:-1], ends[1:], strict=True))
+            found.update((w, raw[a:b]) for w, a, b in zip(some, ends[:-1], ends[1:], strict=True))
+        return found
+
+    def _learn(self, unknown: set[str]) -> None:
+        """Encode parts that follow a space. Punctuation behind letters is a piece of its own, so a word and its
+        punctuation are looked up apart; case is folded first where the file folds it."""
+        rest, old, folds = self.rest, self.old, self.folds
+        seen = [w for w in unknown if w in old]  # set operations with a dict would walk all of it
+        rest.update(zip(seen, map(old.__getitem__, seen), strict=True))
+        plain, odd, cores = [], [], set()
+        for w in unknown.difference(seen):
+            core = w.rstrip(_PUNCTUATION)
+            if not core.isalpha():
+                odd.append(w)
+            elif folds:
+                folded = core.lower()
+                if not folded.isalpha() or core[-1] >= "\u0250":
+                    odd.append(w)
+                    continue
+                plain.append((w, folded, w[len(core) :]))
+                cores.add(folded)
+            elif len(core) == len(w):
+                cores.add(w)
+            elif core[-1] < "\u0250":
+                plain.append((w, core, w[len(core) :]))
+                cores.add(core)
+            else:
+                odd.append(w)
+        cores = cores.difference(rest)
+        tails = {t for _, _, t in plain}.difference(self.tails)
+        if tails:
+            if len(self.tails) > self.most:
+                self.tails = {"": b""}
+                tails = {t for _, _, t in plain if t}
+            self.tails.update(zip(tails, self._encode(list(tails)), strict=True))
+        rest.update(self._words(list(cores)))
+        known = self.tails
+        rest.update((w, rest[core] + known[tail]) for w, core, tail in plain)
         if odd:
-            self.rest.update(zip(odd, self._encode([" " + w for w in odd]), strict=True))
+            rest.update(zip(odd, self._encode([" " + w for w in odd]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) > self.most or len(self.first) > self.most:
-            self.rest, self.first = {}, {}
+        if len(self.rest) > self.most:
+            self.rest, self.old = {}, self.rest
+        if len(self.first) > self.most:
+            self.first = {}
         cut = [parts(t) for t in texts]
         heads = {p[0] for p in cut if p}.difference(self.first)
         if heads:
@@ -86,11 +129,11 @@ class WordMemo:
         unknown = set()
         for p in cut:
             unknown.update(p[1:])
-        unknown.difference_update(self.rest)
+        unknown = unknown.difference(self.rest)
         if unknown:
-            self._learn(list(unknown))
-        first, rest = self.first, self.rest
-        return [first[p[0]] + b"".join([rest[w] for w in p[1:]]) if p else b"" for p in cut]
+            self._learn(unknown)
+        first, find = self.first, self.rest.__getitem__
+        return [first[p[0]] + b"".join(map(find, p[1:])) if p else b"" for p in cut]
 
 
 _held: dict[str, WordMemo] = {}
