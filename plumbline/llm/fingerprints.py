@@ -65,8 +65,9 @@ def _cell(id_col: str, bounds: list, cells: int) -> Column:
     return F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(within(0, len(bounds) - 1))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, bins: str, ranges: int = 128, rows_a_cell: int = 2048, most_cells: int = 1 << 20) -> DataFrame:
-    """``docs`` (id, text, bins) with the next row's text and bins in descending id order, the first's after the last.
+def with_next(docs: DataFrame, id_col: str, text_col: str, bins: str, measured, ranges: int = 128, rows_a_cell: int = 2048, most_cells: int = 1 << 20) -> DataFrame:
+    """``docs`` (id, text) with ``bins``, which ``measured`` adds, and the next row's text and bins in descending id order,
+    the first's after the last.
 
     Ids are cut into cells in id order: quantile ranges, each in equal widths. A window orders each cell; a copy
     of the next cell's first row, a ghost, ends it. So there is one shuffle of the rows by cell and no global sort.
@@ -85,10 +86,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bins: str, ranges: in
     before = F.coalesce(F.lag("cell").over(down), F.min("cell").over(Window.partitionBy()))
     wanted = heads.select("head", "cell", before.alias("goes_to"))
     match = placed.alias("p").join(F.broadcast(wanted.alias("w")), F.expr(f"p.`{id_col}` <=> w.head and p.cell = w.cell"))
-    first = F.min_by(F.struct(f"p.{id_col}", f"p.{text_col}", f"p.{bins}"), F.struct("p.tie", f"p.{text_col}"))
+    first = F.min_by(F.struct(f"p.{id_col}", f"p.{text_col}"), F.struct("p.tie", f"p.{text_col}"))
     ghosts = match.groupBy("goes_to").agg(first.alias("row")).select("row.*", F.col("goes_to").alias("cell"), F.lit(1).alias("ghost"), F.lit(0).cast("long").alias("tie"))
     order = Window.partitionBy("cell").orderBy("ghost", F.desc_nulls_last(id_col), "tie", text_col)
-    both = placed.unionByName(ghosts)
+    both = measured(placed).unionByName(measured(ghosts))
     seen = both.withColumn("next_text", F.lead(text_col).over(order)).withColumn("next_bins", F.lead(bins).over(order))
     return seen.where("ghost = 0").drop("cell", "ghost", "tie")
 
@@ -102,7 +103,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows; a single row is its own next one. Other columns aren't read.
     """
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    chained = with_next(with_fingerprint(narrow, "text", "bins"), "doc_id", "text", "bins")
+    chained = with_next(narrow, "doc_id", "text", "bins", lambda df: with_fingerprint(df, "text", "bins"))
     half = F.expr("char_length(text) div 2")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half.cast("int")))
     return with_fingerprint(chained.withColumn("edited", edited), "edited", "edited_bins")
