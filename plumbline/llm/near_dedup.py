@@ -11,13 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, slices
+from plumbline.llm.common import materialise, release, slices
 from plumbline.llm.components import components
 
 #: Bytes of a text to word bytes: A-Z to lower case, white space (tab to carriage return, space) to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[bytes, int] = {}
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -26,28 +25,53 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, through a bounded memo."""
-    if len(_known) > 500_000:
-        _known.clear()
-    known, digest = _known, xxhash.xxh64_intdigest
-    for w in set(words).difference(known):
-        known[w] = digest(w)
-    return np.array([known[w] for w in words], np.uint64)
+_BYTES = np.random.default_rng(20).integers(0, 1 << 63, 256, np.uint64)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word shingles of a whole text; fewer words are one shingle."""
-    words = text.encode().translate(_TABLE).split(b" ") if text else []
-    words = [w for w in words if w]
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words)
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, np.uint64(min(len(h), width)))
-    for i in range(min(width, len(h))):
-        out = _mix(out * _P + h[i : i + n])
-    return np.unique(out)
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if len(_powers[0]) < n:
+        odd = int(_P)
+        for i, base in enumerate((odd, pow(odd, -1, 1 << 64))):
+            _powers[i] = np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)))
+    return _powers
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """64-bit hashes of the words of each text, parted at ASCII white space.
+
+    All bytes of all texts at once: a word's hash is the difference of two prefix sums of byte values times powers,
+    shifted to the word's start. Words of over 512 bytes, for which such sums can be made to meet, are hashed singly.
+    """
+    raw = b" ".join(texts) + b" "
+    b = np.frombuffer(raw, np.uint8)
+    edge = np.diff(_SPACE[b].astype(np.int8), prepend=np.int8(1))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    up, down = _powers_to(len(b) + 1)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTES[b] * up[: len(b)], out=sums[1:])
+    h = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _P)
+    for i in np.flatnonzero(ends - starts > 512):
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
+    bounds = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    return np.split(h, bounds[:-1]) if texts else []
+
+
+def shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the ``width``-word shingles of whole texts; fewer words are one shingle."""
+    out = []
+    for h in word_hashes([(t or "").encode().translate(_TABLE) for t in texts]):
+        if not len(h):
+            out.append(np.zeros(0, np.uint64))
+            continue
+        n = max(1, len(h) - width + 1)
+        made = np.full(n, np.uint64(min(len(h), width)))
+        for i in range(min(width, len(h))):
+            made = _mix(made * _P + h[i : i + n])
+        out.append(np.unique(made))
+    return out
 
 
 def half_bands(sets: list[np.ndarray], halves: int, rows: int, seed: int = 11) -> np.ndarray:
@@ -76,7 +100,7 @@ def measure(docs: DataFrame, width: int, halves: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                sets = [shingles(t, width) for t in part.column("text").to_pylist()]
+                sets = shingles(part.column("text").to_pylist(), width)
                 filled = [s for s in sets if len(s)]
                 keys = iter(_signed(half_bands(filled, halves, rows)).tolist() if filled else [])
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -89,7 +113,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                sets = [_signed(shingles(t, width)) for t in part.column("text").to_pylist()]
+                sets = [_signed(s) for s in shingles(part.column("text").to_pylist(), width)]
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "shingles"])
@@ -105,7 +129,47 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("both"), (F.size("of_a") + F.size("of_b")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("any"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves: int = 16, rows: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links_between(ids: np.ndarray, labels: np.ndarray, first: np.ndarray, sets: pa.ListArray, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks of texts (``first`` tells which; one block: within it) that join different labels:
+    a spanning set of them. Sizes of all intersections come from products of 0/1 matrices, a slice of shingles at a time;
+    shingles of one text alone can't count."""
+    flat, ends = sets.flatten().to_numpy(), sets.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    sizes = np.diff(ends)
+    names, coded, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(seen > 1) - 1
+    row = np.repeat(np.arange(len(ids)), sizes)
+    kept = seen[coded] > 1
+    row, column = row[kept], shared[coded[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(len(ids)), np.arange(len(ids)))
+    both = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(shared[-1]) + 1 if len(shared) else 0, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        held = np.zeros((len(ids), 4096), np.float32)
+        held[row[a:b], column[a:b] - low] = 1
+        both += held[left] @ held[right].T
+    both = both.astype(np.int64)
+    near = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+    near &= labels[left][:, None] != labels[right][None, :]
+    parent = {int(x): int(x) for x in labels}
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(near), strict=True):
+        p, q = top(int(labels[left[x]])), top(int(labels[right[y]]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(ids[left[x]]), int(ids[right[y]])))
+    return out
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves: int = 16, rows: int = 3, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (least id reachable over links), kept.
 
     Two texts are linked if 100 * |intersection| >= percent * |union| of their distinct ``width``-word shingles.
@@ -115,9 +179,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
       of ``2 * rows`` minhashes each, of ``2 * halves * rows`` minhashes instead of ``2 * halves ** 2 * rows``. A pair
       that is J alike shares a table with probability (1 - (1 - J ** rows) ** halves) ** 2: all but 0.00002 at 0.8.
       Table keys are formed only from half-bands that some other set shares, so most sets form none.
-    * In each bucket all members are compared with its least id, on full sets. Jaccard distance is a metric, so two
-      members whose distances from it differ by more than 1 - percent / 100 can't be linked; members that are linked
-      to it are linked already. Only the other pairs of different components are compared, each once, on full sets.
+    * In each bucket all members are compared with its head, the one that meets most others, on full sets; links give
+      components. Texts that are at least 0.2 alike to common heads form clusters. A cluster of one component is done. The
+      others are compared exactly, within ``block`` by ``block`` texts a task, which hands on a spanning set of the links
+      that join components. So no table of pairs arises, a group of near copies of any size is split over tasks, and
+      each text is sent once for each ``block`` texts of its cluster.
     * Components come from minima that travel along links. Buckets' minima and counts are taken before each exchange;
       no bucket is ever gathered in one task.
 
@@ -125,7 +191,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     stands behind all others and stays null; ties can't arise, as ids are ordered; an empty table gives no rows;
     other columns aren't read.
     """
-    last = (1 << 63) - 1
+    spark, last = docs.sparkSession, (1 << 63) - 1
     narrow = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(last)).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     measured = materialise(measure(narrow, width, halves, rows), "minhashes")
     filled = measured.where("n_shingles > 0")
@@ -137,29 +203,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     live = keys.join(shared, "key").groupBy("id").agg(F.collect_list(F.when(F.col("slot") < halves, F.col("key"))).alias("one"), F.collect_list(F.when(F.col("slot") >= halves, F.col("key"))).alias("two"))
     tables = live.where("size(two) > 0").select("id", "two", F.explode("one").alias("left_key")).select("id", "left_key", F.explode("two").alias("right_key")).select("id", F.xxhash64("left_key", "right_key").alias("table_key"))
     tables = materialise(tables, "table-keys")
-    heads = tables.groupBy("table_key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("table_key", "head")
-    members = materialise(tables.join(heads, "table_key").where("id != head"), "buckets")
-    star = materialise(members.select(F.col("id").alias("b"), F.col("head").alias("a")).distinct(), "star")
-    nodes = star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(shingle_sets(narrow.join(nodes, "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
-    seen = materialise(_confirmed(star, sets), "confirmed")
+    sizes = tables.groupBy("table_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = materialise(tables.join(sizes, "table_key"), "held")
+    rank = held.groupBy("id").agg(F.struct(F.sum("n").alias("meets"), (-F.col("id")).alias("back")).alias("rank"))
+    members = materialise(held.select("table_key", "id").join(rank, "id"), "buckets")
+    nodes = rank.select("id")
+    # every size takes the same way: texts are dealt by id, not sent a small table
+    sets = materialise(shingle_sets(narrow.join(nodes.hint("merge"), "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
+    release(spark)
     near = F.expr(f"100 * both >= {percent} * any")
-    first = seen.where(near)
-    labels = components(first)
-    # the pairs that the stars leave open
-    distance = (F.lit(1.0) - F.col("both") / F.col("any")).alias("distance")
-    told = seen.select(F.col("b").alias("id"), F.col("a").alias("head"), distance, near.alias("linked"))
-    sized = sets.select("id", F.size("shingles").alias("n"))
-    open_rows = told.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).join(sized, "id")
-    unlinked = told.where("not linked").select("head").distinct()
-    placed = materialise(members.join(unlinked, "head", "left_semi").join(open_rows, ["id", "head"]), "open")
-    x, y = placed.where("not linked").alias("x"), placed.alias("y")
-    slack = (100 - percent) / 100 + 1e-9
-    apart = x.join(y, F.expr(f"x.table_key = y.table_key and x.id != y.id and x.component != y.component and (y.linked or x.id < y.id) and abs(x.distance - y.distance) <= {slack} and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    pairs = apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    second = _confirmed(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), sets).where(near)
-    links = materialise(first.select("a", "b").unionByName(second.select("a", "b")), "links")
-    found = components(links)
+    # the head of each bucket, the member that meets most others, against all its members
+    heads = members.groupBy("table_key").agg((-F.max("rank")["back"]).alias("head"))
+    star = members.join(heads, "table_key").where("id != head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    told = materialise(_confirmed(star, sets), "confirmed")
+    links = told.where(near).select("a", "b")
+    labels = components(links)
+    # what the heads leave open: clusters of several components, compared block by block
+    clusters = components(told.where("5 * both >= any").select("a", "b")).select("id", F.col("component").alias("cluster"))
+    placed = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("low != high")
+    dealt = placed.join(mixed, "cluster").join(sets.select(F.col("id").alias("other_id"), "shingles"), F.col("id") == F.col("other_id")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    pairs = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "shingles")
+
+    def linked(key: tuple, table: pa.Table) -> pa.Table:
+        found = links_between(table.column("id").to_numpy(), table.column("component").to_numpy(), table.column("own").to_numpy() == key[1].as_py(), table.column("shingles").combine_chunks(), percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    more = pairs.groupBy("cluster", "i", "j").applyInArrow(linked, "a long, b long")
+    every = materialise(links.unionByName(more), "links")
+    release(spark)
+    found = components(every)
     label = classes.join(found, classes["node"] == found["id"], "left").select("digest", F.coalesce("component", "node").alias("component"))
     out = measured.select("id", "n_shingles", "digest").join(label, "digest", "left")
     component = F.coalesce("component", "id")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.automaton import SuffixAutomaton
-from plumbline.llm.common import materialise, scratch_path, slices
+from plumbline.llm.common import materialise, release, scratch_path, slices
 from plumbline.llm.near_dedup import _mix, _P, _signed, word_hashes
 
 _loaded: dict[str, SuffixAutomaton] = {}
@@ -33,12 +32,12 @@ def runs(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return out
 
 
-def anchors(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, position) of the anchors: the first least ``gram``-word run of every window. Which run of a window it
     is depends on the window's words alone, so equal windows have equal anchors at equal places."""
-    if len(words) < window:
+    if len(hashes) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams = runs(word_hashes(words), gram)
+    grams = runs(hashes, gram)
     inner = window - gram + 1
     at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, inner).argmin(axis=1) + np.arange(len(grams) - inner + 1))
     return grams[at], at
@@ -53,12 +52,6 @@ def window_starts(positions: np.ndarray, n: int, window: int, gram: int) -> np.n
     return starts[starts <= n - window]
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of finished jobs."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _automaton(path: str) -> SuffixAutomaton:
     if path not in _loaded:
         while len(_loaded) >= 2:
@@ -79,15 +72,17 @@ def repeated_spans(texts: DataFrame, window: int = 35, gram: int = 16, shard_wor
        repeated passage about once, whatever the number of its copies, and nothing else.
     3. Shards. Passages of up to ``shard_words`` words make a suffix automaton, published in the shared folder with the
        anchors that it holds.
-    4. Matching. A text goes to the automata with which it shares an anchor, in groups of about ``shard_documents`` texts
-       for each, and is streamed for matching statistics: runs of ``window`` words or more that a passage holds.
+    4. Matching. The words around a text's anchors go to the automata that hold them, in groups of about
+       ``shard_documents`` texts for each, and are streamed for matching statistics: runs of ``window`` words or more that
+       a passage holds. So an automaton travels to the tasks that need it, and its use by many texts is split.
     """
     spark = texts.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                kept = [(k, *anchors(words_of(t), window, gram)) for k, t in zip(part.column("key").to_pylist(), part.column("text").to_pylist(), strict=True)]
+            for part in slices(batch, "text", 2 << 20):
+                hashed = word_hashes([(t or "").encode() for t in part.column("text").to_pylist()])
+                kept = [(k, *anchors(h, window, gram)) for k, h in zip(part.column("key").to_pylist(), hashed, strict=True)]
                 kept = [x for x in kept if len(x[1])]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in kept], pa.binary()), pa.array([_signed(h) for _, h, _ in kept], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for _, _, p in kept], pa.list_(pa.int32()))], names=["key", "hashes", "positions"])
 
@@ -98,16 +93,15 @@ def repeated_spans(texts: DataFrame, window: int = 35, gram: int = 16, shard_wor
     hits = each.join(live, "hash").groupBy("key").agg(F.max("copies").alias("copies"), F.collect_list("position").alias("positions"), F.collect_list("hash").alias("hashes"))
     chosen = hits.join(texts.dropDuplicates(["key"]), "key").withColumn("node", F.monotonically_increasing_id())
     chosen = materialise(chosen, "candidates")
-    _release(spark)
+    release(spark)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 cols: list[list] = [[], [], [], [], []]
-                for node, copies, text, at in zip(*(part.column(c).to_pylist() for c in ("node", "copies", "text", "positions")), strict=True):
-                    words = words_of(text)
-                    hashes = word_hashes(words)
-                    starts = window_starts(np.array(at, np.int64), len(words), window, gram)
+                hashed = word_hashes([(t or "").encode() for t in part.column("text").to_pylist()])
+                for node, copies, hashes, at in zip(*(part.column(c).to_pylist() for c in ("node", "copies")), hashed, part.column("positions").to_pylist(), strict=True):
+                    starts = window_starts(np.array(at, np.int64), len(hashes), window, gram)
                     one, two = runs(hashes, window)[starts], runs(hashes, window, 1)[starts]
                     for c, x in zip(cols, (_signed(one), (two >> np.uint64(33)).astype(np.int32), np.full(len(starts), node), starts.astype(np.int32), np.full(len(starts), copies)), strict=True):
                         c.append(x)
@@ -120,54 +114,78 @@ def repeated_spans(texts: DataFrame, window: int = 35, gram: int = 16, shard_wor
     places = repeated.groupBy("node").agg(F.sort_array(F.collect_list("start")).alias("starts"))
     folder = scratch_path(spark, "automata")
 
+    def passages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The passages, each with its least anchor: alike ones have the same one and so come to one automaton."""
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                found: list[bytes] = []
+                for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
+                    words, at = words_of(text), np.array(starts)
+                    found += [b" ".join(words[run[0] : run[-1] + window]) for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)]
+                least = [int(_signed(anchors(h, window, gram)[0]).min()) for h in word_hashes(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array([f.decode() for f in found], pa.string())], names=["least", "words"])
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages: list[list[bytes]] = []
         held = 0
 
         def publish() -> pa.RecordBatch:
-            system, place = fs.FileSystem.from_uri(f"{folder}/{uuid.uuid4().hex}.npz")
+            name = uuid.uuid4().hex[:16]
+            system, place = fs.FileSystem.from_uri(f"{folder}/{name}.npz")
             system.create_dir(place.rpartition("/")[0], recursive=True)
             with system.open_output_stream(place, compression=None) as f:
                 f.write(SuffixAutomaton.of(passages).dump())
-            path = f"{folder}/{place.rpartition('/')[2]}"
-            hashes = _signed(np.unique(np.concatenate([anchors(p, window, gram)[0] for p in passages])))
-            return pa.RecordBatch.from_arrays([pa.array([path] * len(hashes)), pa.array(hashes)], names=["path", "hash"])
+            hashed = word_hashes([b" ".join(p) for p in passages])
+            hashes = _signed(np.unique(np.concatenate([anchors(h, window, gram)[0] for h in hashed])))
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(hashes)), pa.array(hashes)], names=["shard", "hash"])
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
-                    words, at = words_of(text), np.array(starts)
-                    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                        passages.append(words[run[0] : run[-1] + window])
-                        held += len(passages[-1])
-                        if held >= shard_words:
-                            yield publish()
-                            passages, held = [], 0
+            for words in batch.column("words").to_pylist():
+                passages.append(words.encode().split())
+                held += len(passages[-1])
+                if held >= shard_words:
+                    yield publish()
+                    passages, held = [], 0
         if passages:
             yield publish()
 
-    routes = materialise(places.join(chosen.select("node", "text"), "node").select("text", "starts").mapInArrow(build, "path string, hash long"), "routes")
-    _release(spark)
-    wanted = chosen.select("node", F.explode(F.array_distinct("hashes")).alias("hash")).join(routes, "hash").select("node", "path").distinct()
+    passages = places.join(chosen.select("node", "text"), "node").select("text", "starts").mapInArrow(passages_of, "least long, words string")
+    routes = materialise(passages.repartition("least").sortWithinPartitions("least").mapInArrow(build, "shard string, hash long"), "routes")
+    release(spark)
+    at = F.explode(F.arrays_zip("hashes", "positions")).alias("x")
+    wanted = chosen.select("node", at).select("node", F.col("x.hashes").alias("hash"), F.col("x.positions").alias("position")).join(routes, "hash").groupBy("node", "shard").agg(F.collect_list("position").alias("positions"))
     wanted = materialise(wanted, "wanted")
-    share = wanted.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / shard_documents).alias("parts"))
-    sent = wanted.join(share, "path").select("node", "path", F.expr("pmod(xxhash64(node), parts)").alias("part"))
+    share = wanted.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_documents).alias("parts"))
+    dealt = wanted.join(share, "shard").groupBy("node").agg(F.collect_list(F.struct("shard", "parts", "positions")).alias("to"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The runs of words of each text that each automaton is asked about."""
+        names = ["key", "shard", "part", "at", "words"]
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                rows = []
+                for node, key, text, to in zip(*(part.column(c).to_pylist() for c in ("node", "key", "text", "to")), strict=True):
+                    words = words_of(text)
+                    for x in to:
+                        starts = window_starts(np.array(x["positions"], np.int64), len(words), window, gram)
+                        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []:
+                            rows.append((key, x["shard"], node % x["parts"], int(run[0]), b" ".join(words[run[0] : run[-1] + window]).decode()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=names)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for part in slices(batch, "text"):
-                rows = []
-                for key, path, text in zip(*(part.column(c).to_pylist() for c in ("key", "path", "text")), strict=True):
-                    spans = _automaton(path).long_matches(words_of(text), window)
-                    if spans:
-                        rows.append((key, [{"start": a, "end": b} for a, b in spans]))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([s for _, s in rows], kind)], names=["key", "spans"])
-
-    dealt = sent.join(chosen.select("node", "key", "text"), "node").repartition("path", "part").sortWithinPartitions("path")
-    matched = dealt.select("key", "path", "text").mapInArrow(match, "key binary, spans array<struct<start: int, end: int>>")
+            rows = []
+            for key, shard, at, words in zip(*(batch.column(c).to_pylist() for c in ("key", "shard", "at", "words")), strict=True):
+                spans = _automaton(f"{folder}/{shard}.npz").long_matches(words.encode().split(), window)
+                if spans:
+                    rows.append((key, [{"start": at + a, "end": at + b} for a, b in spans]))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([s for _, s in rows], kind)], names=["key", "spans"])
+
+    asked = dealt.join(chosen.select("node", "key", "text"), "node").mapInArrow(cut, "key binary, shard string, part long, at long, words string")
+    matched = asked.repartition("shard", "part").sortWithinPartitions("shard").mapInArrow(match, "key binary, spans array<struct<start: int, end: int>>")
     out = materialise(matched.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    _release(spark)
+    release(spark)
     return out
 
 
