@@ -11,26 +11,26 @@ from plumbline.llm.common import materialise, remove_scratch, scratch_path
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id`` and ``component`` (the least id reachable) of every id in ``links``.
 
-    Each round, an id takes the least label of its neighbours and itself, and then that label's own label (so
-    labels travel twice as far each round). Only sums and minima are shuffled, which are taken before the
-    exchange; a hub of any degree is a skewed join that is split. Labels are written to the shared folder each round.
+    Each round, every vertex takes the least of its neighbours and itself, links are rewritten to what their ends took, and
+    links within one vertex and repeated ones go. So the links shrink from round to round, and when none is left each
+    component is one vertex, its least id, which always takes itself. Only minima and distinct links are shuffled,
+    both reduced before the exchange; a hub is a skewed join that is split. Each round ends in the shared folder.
     """
     spark = links.sparkSession
-    pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    edges = materialise(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id")
+    edges = materialise(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct(), "edges")
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id")))
     path = scratch_path(spark, "labels")
-    labels.write.parquet(path)
+    ends.distinct().withColumn("component", F.col("id")).write.parquet(path)
     while True:
         labels = spark.read.parquet(path)
-        near = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("near"))
-        moved = labels.join(near, labels["id"] == near["a"]).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = labels.select(F.col("id").alias("via"), F.col("component").alias("beyond"))
-        new = moved.join(jump, moved["component"] == jump["via"], "left").select("id", "old", F.least("component", F.coalesce("beyond", "component")).alias("component"))
+        if not edges.limit(1).count():
+            return labels
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        took = materialise(near.groupBy(F.col("a").alias("from")).agg(F.least(F.first("a"), F.min("b")).alias("to")), "took")
         following = scratch_path(spark, "labels")
-        new.write.parquet(following)
-        changed = spark.read.parquet(following).where("old != component").limit(1).count()
+        labels.join(took, labels["component"] == took["from"], "left").select("id", F.coalesce("to", "component").alias("component")).write.parquet(following)
         remove_scratch(spark, path)
         path = following
-        if not changed:
-            return spark.read.parquet(path).select("id", "component")
+        one = edges.join(took, edges["a"] == took["from"]).select(F.col("to").alias("x"), "b")
+        two = one.join(took, one["b"] == took["from"]).select("x", F.col("to").alias("y"))
+        edges = materialise(two.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")

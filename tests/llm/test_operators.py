@@ -370,3 +370,23 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert whole[303] < len(tokens(BYTES, texts[303])) - 60
     assert zlib.crc32(np.array([*tokens(BYTES, texts[7]), 1], "<u4").tobytes()) in {r.ids_crc32 for r in got if r.doc_id == 7}
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_components(spark):
+    from plumbline.llm.components import components
+
+    rng = random.Random(5)
+    for edges in ([(i, i + 1) for i in range(40)] + [(100, 99), (50, 60), (50, 50)], [(rng.randrange(80), rng.randrange(80)) for _ in range(50)], []):
+        parent = {}
+
+        def top(x, parent=parent):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for x, y in edges:
+            if x != y:
+                p, q = sorted((top(x), top(y)))
+                parent[q] = p
+        got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: top(x) for x in list(parent)}
