@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,38 +11,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import slices
+from plumbline.llm.near_dedup import _P, word_hashes
 from plumbline.llm.labelled import best_cut, held_out, sigmoid, training_labels
 
 FEATURES = ("words", "chars", "word_length", "distinct", "distinct_law", "repeats", "top_word", "top_three", "bars", "exclaimed", "symbols", "digits", "upper", "capitalised", "stops", "commas", "lines", "same_lines", "short", "long", "marked", "brackets", "alike_pairs", "letters", "line_length")
-_LETTERS = re.compile(r"[^\W\d_]")
-_SYMBOLS = str.maketrans("", "", "#$%&*@^~=+<>{}[]\\_")
-_DIGITS = str.maketrans("", "", "0123456789")
-
-
-def features(text: str | None) -> list[float]:
-    """Measures of form of a whole text, none of its vocabulary; zeros for an empty one."""
-    words = text.split() if text else []
-    n = len(words)
-    if not n:
-        return [0.0] * len(FEATURES)
-    chars = len(text)
-    counts = Counter(words)
-    top = counts.most_common(3)
-    lines = [x for x in text.split("\n") if x]
-    bare = chars - text.count(" ") - text.count("\n")
-    symbols = chars - len(text.translate(_SYMBOLS))
-    digits = chars - len(text.translate(_DIGITS))
-    letters = max(1, sum(map(str.isalpha, text)) if chars < 2000 else len(_LETTERS.findall(text)))
-    upper = sum(map(str.isupper, words))
-    lengths = list(map(len, words))
-    pairs = set(zip(words, words[1:], strict=False))
-    repeats = sum(map(str.__eq__, words, words[1:]))
-    return [
-        np.log1p(n), np.log1p(chars), bare / n, len(counts) / n, np.log1p(len(counts)) / np.log1p(n), repeats / n, top[0][1] / n, sum(c for _, c in top) / n,
-        counts.get("|", 0) / n, text.count("!") / n, symbols / n, digits / chars, upper / n, sum(map(str.istitle, words)) / n, text.count(".") / n, text.count(",") / n,
-        len(lines) / n, 1 - len(set(lines)) / max(1, len(lines)), sum(x < 3 for x in lengths) / n, sum(x > 15 for x in lengths) / n, (text.count("http") + text.count("@")) / n, (text.count("(") + text.count("<") + text.count("{")) / n,
-        1 - len(pairs) / max(1, n - 1), letters / max(1, bare), np.log1p(chars / max(1, len(lines))),
-    ]
+_IS = {name: np.isin(np.arange(256), list(which.encode())) for name, which in {"symbols": "#$%&*@^~=+<>{}[]\\_", "digits": "0123456789", "space": " \t\n\r\x0b\x0c"}.items()}
+_IS["letters"] = np.array([65 <= x <= 90 or 97 <= x <= 122 or x >= 192 for x in range(256)])  # of other alphabets: first bytes
+_IS["characters"] = np.array([x < 128 or x >= 192 for x in range(256)])
+
+
+def features(texts: list[str | None]) -> np.ndarray:
+    """A row of measures of form for each whole text, none of its vocabulary; zeros for one without words. Characters
+    are counted by classes of UTF-8 bytes, words by 64-bit hashes."""
+    raws = [t.encode() if t else b"" for t in texts]
+    out = np.zeros((len(texts), len(FEATURES)))
+    for row, text, raw, h in zip(out, texts, raws, word_hashes(raws), strict=True):
+        n = len(h)
+        if not n:
+            continue
+        byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+        held = {k: int(byte[v].sum()) for k, v in _IS.items()}
+        chars, bare = held["characters"], max(1, held["characters"] - held["space"])
+        counts = np.sort(np.unique(h, return_counts=True)[1])[::-1]
+        pairs = len(np.unique(h[:-1] * _P + h[1:])) if n > 1 else 0
+        words = text.split()
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        lines = [x for x in raw.split(b"\n") if x]
+        row[:] = (
+            np.log1p(n), np.log1p(chars), bare / n, len(counts) / n, np.log1p(len(counts)) / np.log1p(n), (h[1:] == h[:-1]).sum() / n, counts[0] / n, counts[:3].sum() / n,
+            byte[124] / n, byte[33] / n, held["symbols"] / n, held["digits"] / chars, sum(map(str.isupper, words)) / n, sum(map(str.istitle, words)) / n, byte[46] / n, byte[44] / n,
+            len(lines) / n, 1 - len(set(lines)) / max(1, len(lines)), (lengths < 3).sum() / n, (lengths > 15).sum() / n, (raw.count(b"http") + byte[64]) / n, (byte[40] + byte[60] + byte[123]) / n,
+            1 - pairs / max(1, n - 1), held["letters"] / bare, np.log1p(chars / max(1, len(lines))),
+        )
+    return out
 
 
 @dataclass
@@ -105,8 +104,9 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, ridge: float = 1e-3,
 def _measured(docs: DataFrame, extra: str, kept: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.array([np.array(features(t)).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), x], names=[*kept, "x"])
+            for rows in slices(batch, "text", 1 << 20):
+                x = pa.array([v.tobytes() for v in features(rows.column("text").to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), x], names=[*kept, "x"])
 
     return docs.mapInArrow(run, f"{extra}, x binary")
 
@@ -130,8 +130,8 @@ def score_quality(docs: DataFrame, model: BradleyTerry, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in slices(batch, text_col):
-                x = np.array([features(t) for t in rows.column(text_col).to_pylist()]).reshape(-1, len(FEATURES))
+            for rows in slices(batch, text_col, 1 << 20):
+                x = features(rows.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(model.score(x), pa.float64())], names=[*kept, score_col])
 
     return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{spelled}, `{score_col}` double")
