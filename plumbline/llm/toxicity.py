@@ -83,7 +83,11 @@ def counterfactuals(words: set[str], terms: tuple[tuple[str, ...], ...] = IDENTI
     return [(t, other) for group in terms for t in group if t in words for other in group if other not in words]
 
 
-def fit(rows: list[tuple[list[str], int]], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, strength: float = 4.0, lasso: float = 2e-3, most_features: int = 6_000, rounds: int = 150, level: float = 0.5) -> ToxicityModel:
+def _listed(words: list[str] | str) -> list[str]:
+    return words.split() if isinstance(words, str) else words
+
+
+def fit(rows: list[tuple[list[str] | str, int]], terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, strength: float = 4.0, lasso: float = 2e-3, most_features: int = 6_000, rounds: int = 150, level: float = 0.5) -> ToxicityModel:
     """Learn from (different words, label) by logistic loss plus ``strength`` times the mean squared change of the
     score when an identity term of a labelled sentence is swapped for another of its group, and a lasso.
 
@@ -94,11 +98,12 @@ def fit(rows: list[tuple[list[str], int]], terms: tuple[tuple[str, ...], ...] =
     y = np.array([label for _, label in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel({}, level=level, cut=0.0 if not len(y) or y.max() == 0 else -1.0)
-    found = [Counter(f for w in words for f in word_features(w)) for words, _ in rows]
     dims = 1 << _BITS
-    seen = np.zeros((2, dims))
-    for counts, label in zip(found, y, strict=True):
-        seen[int(label), list(counts)] += 1
+    seen, found = np.zeros((2, dims)), []
+    for words, label in rows:
+        ids, n = np.unique(np.fromiter((f for w in _listed(words) for f in word_features(w)), np.int32), return_counts=True)
+        found.append((ids, np.minimum(n, 3).astype(np.uint8)))
+        seen[label, ids] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     share = (seen[0] + seen[1] + 1) / (len(y) + 2)
     apart = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
@@ -106,16 +111,14 @@ def fit(rows: list[tuple[list[str], int]], terms: tuple[tuple[str, ...], ...] =
     chosen = set(np.argsort(-apart, kind="stable")[:most_features][apart[np.argsort(-apart, kind="stable")[:most_features]] > 0].tolist())
     chosen |= {f for group in terms for t in group for f in word_features(t)}
     place = {f: i for i, f in enumerate(sorted(chosen))}
-    d = len(place)
-    row, col, val = [], [], []
-    for i, counts in enumerate(found):
-        for f, n in counts.items():
-            if f in place:
-                row.append(i)
-                col.append(place[f])
-                val.append(min(n, 3))
-    row, col, val = np.array(row), np.array(col), np.array(val, np.float64)
-    swaps = Counter(s for words, _ in rows for s in counterfactuals(set(words), terms))
+    d, at = len(place), np.full(dims, -1, np.int32)
+    at[list(place)] = list(place.values())
+    kept = [at[ids] >= 0 for ids, _ in found]
+    row = np.repeat(np.arange(len(found)), [k.sum() for k in kept])
+    col = np.concatenate([at[ids[k]] for (ids, _), k in zip(found, kept, strict=True)])
+    val = np.concatenate([n[k] for (_, n), k in zip(found, kept, strict=True)]).astype(np.float64)
+    del found, kept
+    swaps = Counter(s for words, _ in rows for s in counterfactuals(set(_listed(words)), terms))
     swaps.update((a, b) for group in terms for a in group for b in group if a < b)
     change = np.zeros((len(swaps), d), np.float32)
     often = np.array([np.sqrt(n) for n in swaps.values()], np.float32)
@@ -141,8 +144,7 @@ def fit(rows: list[tuple[list[str], int]], terms: tuple[tuple[str, ...], ...] =
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         v = new + (momentum - 1) / following * (new - w)
         w, momentum = new, following
-    at = {f: float(w[i]) for f, i in place.items() if w[i]}
-    model = ToxicityModel(at, level=level)
+    model = ToxicityModel({f: float(w[i]) for f, i in place.items() if w[i]}, level=level)
     s = np.bincount(row, w[col] * val, len(y))
     model.cut = best_cut(s, y.astype(int))
     model.steep = float(2.0 / (np.abs(s - model.cut).mean() + 1e-9))
@@ -162,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
 
     joined = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(sample), "id")
     rows = joined.select("y", "text").mapInArrow(run, "y int, words string").collect()
-    return fit(sorted((r["words"].split(), r["y"]) for r in rows), terms)
+    return fit(sorted((r["words"], r["y"]) for r in rows), terms)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
