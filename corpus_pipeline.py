@@ -24,9 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8), the document of the least id stays; rows without id stay."""
-    found = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (five words, 0.8) one row stays, that of the least id (null ids last). Rows are
+    told apart by a key of their own, not by id: copies with the same id or without one are copies like any other."""
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    keyed = materialise(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(keyed, id_col="_row").where("not kept").select("_row")
+    return keyed.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

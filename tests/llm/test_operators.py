@@ -372,6 +372,21 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert hashlib.sha256(b"").hexdigest()
 
 
+def test_pipeline_keeps_one_whole_row_of_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120))
+    one, two, three, four = text(), text(), text(), text()
+    rows = [(1, one), (1, one), (2, two), (None, two), (None, two + " tail"), (None, three), (None, three), (4, four), (4, text()), (5, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    deduped = corpus_pipeline.near_dedup(spark, docs, "")
+    wanted = Counter([(1, one), (2, two), (None, three), (4, four), (4, rows[8][1]), (5, None), (None, "")])
+    assert deduped.columns == docs.columns and Counter((r.doc_id, r.text) for r in deduped.collect()) == wanted
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.substring_dedup(spark, deduped, "").collect()) == wanted
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
 def test_components(spark):
     from plumbline.llm.components import components
 
