@@ -94,19 +94,41 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _measures(sets: list[np.ndarray], halves: int, rows: int) -> tuple[list[pa.Array], list[str]]:
+    """Shingles, a 128-bit digest and the half-band keys of each set."""
+    filled = [s for s in sets if len(s)]
+    keys = iter(_signed(half_bands(filled, halves, rows)).tolist() if filled else [])
+    digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))], ["n_shingles", "digest", "keys"]
+
+
 def measure(docs: DataFrame, width: int, halves: int, rows: int) -> DataFrame:
-    """Id, shingles, a 128-bit digest of the set and the half-band keys of each row, in one map."""
+    """Id, tag and the measures of the shingles of each row, in one map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                sets = shingles(part.column("text").to_pylist(), width)
-                filled = [s for s in sets if len(s)]
-                keys = iter(_signed(half_bands(filled, halves, rows)).tolist() if filled else [])
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["id", "n_shingles", "digest", "keys"])
+                made, names = _measures(shingles(part.column("text").to_pylist(), width), halves, rows)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), *made], names=["id", "tag", *names])
+
+    return docs.mapInArrow(run, "id long, tag binary, n_shingles long, digest binary, keys array<long>")
+
+
+def unite(docs: DataFrame, width: int) -> DataFrame:
+    """The distinct shingles of all texts of each id."""
+    each = shingle_sets(docs, width).select("id", F.explode("shingles").alias("shingle")).distinct()
+    return each.groupBy("id").agg(F.collect_list("shingle").alias("shingles"))
+
+
+def measure_united(united: DataFrame, halves: int, rows: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made, names = _measures([np.sort(np.array(s, np.int64).view(np.uint64)) for s in part.column("shingles").to_pylist()], halves, rows)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *made], names=["id", *names])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>")
+    return united.mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -187,18 +209,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     * Components come from minima that travel along links. Buckets' minima and counts are taken before each exchange;
       no bucket is ever gathered in one task.
 
-    Null or empty texts have no shingle and are linked with nothing; rows that share an id are one node; a null id
-    stands behind all others and stays null; ties can't arise, as ids are ordered; an empty table gives no rows;
+    Null or empty texts have no shingle and are linked with nothing; rows that share an id are one node, which has the
+    shingles of all its texts; rows without id are judged each by its own text, and their id gives way to any other
+    and stays null, also as that of a component without ids; ties can't arise, as ids are ordered; an empty table gives no rows;
     other columns aren't read.
     """
-    spark, last = docs.sparkSession, (1 << 63) - 1
-    narrow = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(last)).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    spark = docs.sparkSession
+    text = F.col(f"`{text_col}`").cast("string")
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("tag"))
     measured = materialise(measure(narrow, width, halves, rows), "minhashes")
+    # ids whose rows differ in their sets; the null digest of an empty set counts as one
+    torn = measured.where("id is not null").groupBy("id").agg(F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high")).where("low != high").select("id")
+    torn, united = materialise(torn, "torn"), None
+    if torn.limit(1).count():
+        united = materialise(unite(narrow.join(torn, "id", "left_semi"), width), "united")
+        whole = measured.select("id").join(measure_united(united, halves, rows), "id").withColumn("tag", F.lit(None).cast("binary"))
+        measured = materialise(measured.join(torn, "id", "left_anti").unionByName(whole), "minhashes")
     filled = measured.where("n_shingles > 0")
-    classes = materialise(filled.groupBy("digest").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles")), "classes")
-    # the keys of a set's representative; a set has the same keys wherever it stands
-    own = filled.join(classes.select("digest", F.col("node").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id"])
-    keys = materialise(own.select("id", F.posexplode("keys").alias("slot", "key")), "half-bands")
+    # a set has the same keys wherever it stands; ``source`` tells a row that holds it, without tag the united one of an id
+    same = filled.groupBy("digest").agg(F.min(F.struct("id", "tag")).alias("source"), F.min("id").alias("least"), F.first("keys").alias("keys"))
+    classes = materialise(same.withColumn("node", F.monotonically_increasing_id()), "classes")
+    keys = classes.select(F.col("node").alias("id"), F.posexplode("keys").alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     live = keys.join(shared, "key").groupBy("id").agg(F.collect_list(F.when(F.col("slot") < halves, F.col("key"))).alias("one"), F.collect_list(F.when(F.col("slot") >= halves, F.col("key"))).alias("two"))
     tables = live.where("size(two) > 0").select("id", "two", F.explode("one").alias("left_key")).select("id", "left_key", F.explode("two").alias("right_key")).select("id", F.xxhash64("left_key", "right_key").alias("table_key"))
@@ -208,8 +239,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     rank = held.groupBy("id").agg(F.struct(F.sum("n").alias("meets"), (-F.col("id")).alias("back")).alias("rank"))
     members = materialise(held.select("table_key", "id").join(rank, "id"), "buckets")
     nodes = rank.select("id")
-    # every size takes the same way: texts are dealt by id, not sent a small table
-    sets = materialise(shingle_sets(narrow.join(nodes.hint("merge"), "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
+    # every size takes the same way: texts are dealt by id and tag, not sent a small table
+    sources = classes.join(nodes, classes["node"] == nodes["id"], "left_semi").select("node", F.col("source.id").alias("source_id"), F.col("source.tag").alias("source_tag"))
+    stands = F.col("id").eqNullSafe(F.col("source_id")) & (F.col("tag") == F.col("source_tag"))
+    sets = shingle_sets(narrow.join(sources.hint("merge"), stands).select(F.col("node").alias("id"), "text"), width).dropDuplicates(["id"])
+    if united is not None:
+        sets = sets.unionByName(united.join(sources.where("source_tag is null"), F.col("id") == F.col("source_id")).select(F.col("node").alias("id"), "shingles"))
+    sets = materialise(sets, "sets")
     release(spark)
     near = F.expr(f"100 * both >= {percent} * any")
     # the head of each bucket, the member that meets most others, against all its members
@@ -233,8 +269,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     every = materialise(links.unionByName(more), "links")
     release(spark)
     found = components(every)
-    label = classes.join(found, classes["node"] == found["id"], "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = measured.select("id", "n_shingles", "digest").join(label, "digest", "left")
-    component = F.coalesce("component", "id")
-    # rows that share an id are one node
-    return out.select(F.nullif("id", F.lit(last)).alias(id_col), "n_shingles", F.nullif(component, F.lit(last)).alias("component_id"), (F.col("id") == component).alias("kept"))
+    label = classes.join(found, classes["node"] == found["id"], "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
+    named = label.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = measured.select("id", "n_shingles", "digest").join(label.join(named, "component").select("digest", "component_id"), "digest", "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

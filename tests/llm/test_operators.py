@@ -237,6 +237,20 @@ def test_near_duplicates_of_odd_rows(docs, rows):
     assert [r for r in got if r.doc_id is None][0].component_id is None
 
 
+def test_near_duplicates_unite_the_texts_of_an_id(spark):
+    from plumbline.llm.near_dedup import near_duplicates
+
+    rng = random.Random(7)
+    text = lambda n=80: " ".join(str(rng.randint(0, 10**6)) for _ in range(n))
+    one, two, three, four, five = (text() for _ in range(5))
+    # 20 has the shingles of two texts, of which 21 and 22 hold only one, 23 both; 30 has an empty row
+    rows = [(20, one), (20, two), (21, one), (22, two), (23, f"{one} {two}"), (30, three), (30, None), (31, three), (None, four), (None, five), (None, five + " x"), (40, five), (None, None), (None, text())]
+    got = Counter(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=4).collect())
+    wanted = [(20, 154, 20, True)] * 2 + [(21, 77, 21, True), (22, 77, 22, True), (23, 157, 20, False)] + [(30, 77, 30, True)] * 2 + [(31, 77, 30, False)]
+    wanted += [(None, 77, None, True), (None, 77, 40, False), (None, 78, 40, False), (40, 77, 40, True), (None, 0, None, True), (None, 77, None, True)]
+    assert got == Counter(wanted)
+
+
 def removed(rows, window):
     words = [re.findall(r"[^\x20\x09-\x0d]+", r[1] or "") for r in rows]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
