@@ -151,6 +151,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("both"), (F.size("of_a") + F.size("of_b")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("any"))
 
 
+def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The members (``id``, ``rank``) of each bucket (``table_key``) with its heads, on full sets: ``a``, ``b``, ``both``,
+    ``any``, so that both of each pair that is linked and shares a bucket are at least 0.2 alike to one head, or one is a head.
+
+    The first head is the member that meets most others. Distances are a metric: what is linked to a member at least
+    ``1.2 - percent / 100`` alike to a head is itself 0.2 alike to it. So such members and the heads leave the bucket.
+    Unless the others are all 0.2 alike to one head, they go through a further round, with up to eight times as many
+    heads, those first that are below 0.2 to all; a bucket ends when one member is left at most. Heads are maxima over parts of a bucket, so none is gathered.
+    """
+    spark, tolds, most, rest = members.sparkSession, [], 1, members.withColumn("rank", F.struct(F.lit(True).alias("far"), "rank.meets", "rank.back"))
+    while True:
+        part = F.expr(f"pmod(xxhash64(id, {most}), {most})")
+        heads = rest.groupBy("table_key", part.alias("part")).agg((-F.max("rank")["back"]).alias("head")).drop("part")
+        if most > 1:
+            heads = materialise(heads, "heads")
+        asked = rest.join(heads, "table_key").where("id != head").withColumns({"a": F.least("id", "head"), "b": F.greatest("id", "head")})
+        told = materialise(_confirmed(asked.select("a", "b").distinct(), sets), "confirmed")
+        tolds.append(told)
+        release(spark)
+        low = materialise(asked.join(told.where("5 * both < any").select("a", "b"), ["a", "b"]).select("table_key").distinct(), "open")
+        if not low.limit(1).count():
+            break
+        judged = asked.join(low, "table_key", "left_semi").join(told, ["a", "b"]).select("table_key", "id", "head", "rank", F.expr("5 * both >= any").alias("fringe"), F.expr(f"100 * both >= {120 - percent} * any").alias("core"))
+        judged = materialise(judged, "judged")
+        left = judged.groupBy("table_key", "id").agg(F.max("core").alias("core"), F.max("fringe").alias("fringe"), F.max("rank").alias("rank")).where("not core")
+        left = materialise(left.join(heads.select("table_key", F.col("head").alias("id")), ["table_key", "id"], "left_anti"), "left")
+        # a bucket of which one head has all that is left in its cluster is done
+        held = judged.join(left.select("table_key", "id"), ["table_key", "id"]).groupBy("table_key", "head").agg(F.min("fringe").alias("all")).where("all").select("table_key").distinct()
+        several = left.groupBy("table_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("table_key")
+        rest = left.join(several, "table_key", "left_semi").join(held, "table_key", "left_anti")
+        rest = materialise(rest.select("table_key", "id", F.struct((~F.col("fringe")).alias("far"), "rank.meets", "rank.back").alias("rank")), "rest")
+        if not rest.limit(1).count():
+            break
+        most *= 8
+    every = tolds[0]
+    for more in tolds[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 def links_between(ids: np.ndarray, labels: np.ndarray, first: np.ndarray, sets: pa.ListArray, percent: int) -> list[tuple[int, int]]:
     """Links between two blocks of texts (``first`` tells which; one block: within it) that join different labels:
     a spanning set of them. Sizes of all intersections come from products of 0/1 matrices, a slice of shingles at a time;
@@ -202,7 +242,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
       that is J alike shares a table with probability (1 - (1 - J ** rows) ** halves) ** 2: all but 0.00002 at 0.8.
       Table keys are formed only from half-bands that some other set shares, so most sets form none.
     * In each bucket all members are compared with its head, the one that meets most others, on full sets; links give
-      components. Texts that are at least 0.2 alike to common heads form clusters. A cluster of one component is done. The
+      components. Texts that are at least 0.2 alike to common heads form clusters. What a head leaves open gets further heads,
+      until all linked pairs of a bucket are in one cluster. A cluster of one component is done. The
       others are compared exactly, within ``block`` by ``block`` texts a task, which hands on a spanning set of the links
       that join components. So no table of pairs arises, a group of near copies of any size is split over tasks, and
       each text is sent once for each ``block`` texts of its cluster.
@@ -248,10 +289,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     sets = materialise(sets, "sets")
     release(spark)
     near = F.expr(f"100 * both >= {percent} * any")
-    # the head of each bucket, the member that meets most others, against all its members
-    heads = members.groupBy("table_key").agg((-F.max("rank")["back"]).alias("head"))
-    star = members.join(heads, "table_key").where("id != head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
-    told = materialise(_confirmed(star, sets), "confirmed")
+    told = compared(members, sets, percent)
     links = told.where(near).select("a", "b")
     labels = components(links)
     # what the heads leave open: clusters of several components, compared block by block

@@ -251,6 +251,25 @@ def test_near_duplicates_unite_the_texts_of_an_id(spark):
     assert got == Counter(wanted)
 
 
+def test_near_duplicates_between_texts_unlike_the_head(spark):
+    from plumbline.llm.near_dedup import half_bands, near_duplicates, shingles
+
+    rng = random.Random(3)
+    words = lambda n: [str(rng.randint(0, 10**7)) for _ in range(n)]
+    rows, pairs = [], []
+    for group in range(12):  # two short near copies, which many long texts contain
+        short = words(30)
+        rows += [(1000 * group + i, " ".join([*words(85), *short, *words(85)])) for i in range(150)]
+        rows += [(1000 * group + 900, " ".join(short)), (1000 * group + 901, " ".join(short + words(3)))]
+        keys = half_bands(shingles([rows[-2][1], rows[-1][1]], 5), 1, 1)
+        if (keys[0] == keys[1]).all():
+            pairs.append((1000 * group + 900, 1000 * group + 901))
+    # one table of two minhashes: a pair that shares it must be found
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), halves=1, rows=1).collect()}
+    assert len(pairs) > 5 and all(got[a] == got[b] == a for a, b in pairs)
+    assert all(got[i] == i for i, _ in rows if i % 1000 < 900)
+
+
 def removed(rows, window):
     words = [re.findall(r"[^\x20\x09-\x0d]+", r[1] or "") for r in rows]
     seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
