@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -34,6 +35,8 @@ IDENTITY_TERMS = (
     ("musulmanes", "cristianos", "judíos"),
 )
 PREFIXES = (4, 5, 6)
+#: A feature counts at most so often in a text, in fitting as in scoring.
+MOST = 3
 _BITS = 20
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,28 +54,31 @@ def word_features(word: str) -> list[int]:
 
 @dataclass
 class ToxicityModel:
-    """``weights`` by feature; the score is a sum over the different words of a text."""
+    """``weights`` by feature; the score is a sum over the different words of a text, each feature at most ``MOST`` times."""
 
     weights: dict[int, float]
     cut: float = 0.0
     steep: float = 1.0
     level: float = 0.5
-    known: dict[str, float] = field(default_factory=dict, repr=False)
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
-    def word(self, word: str) -> float:
+    def features(self, word: str) -> tuple[int, ...]:
+        """Those of a word that have a weight."""
         if word not in self.known:
             if len(self.known) > 500_000:
                 self.known.clear()
-            self.known[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
+            self.known[word] = tuple(f for f in word_features(word) if f in self.weights)
         return self.known[word]
 
+    def word(self, word: str) -> float:
+        return sum(self.weights[f] for f in self.features(word))
+
     def latent(self, text: str | None) -> float:
-        known = self.known
-        total = 0.0
-        for w in sorted(sentence_words(text)):
-            value = known.get(w)
-            total += self.word(w) if value is None else value
-        return total
+        known, held = self.known, []
+        for w in sentence_words(text):
+            found = known.get(w)
+            held += self.features(w) if found is None else found
+        return math.fsum(self.weights[f] * min(n, MOST) for f, n in Counter(held).items())
 
     def score(self, latents: np.ndarray) -> np.ndarray:
         return sigmoid(self.steep * (latents - self.cut) + np.log(self.level / (1 - self.level)))
@@ -102,7 +108,7 @@ def fit(rows: list[tuple[list[str] | str, int]], terms: tuple[tuple[str, ...], .
     seen, found = np.zeros((2, dims)), []
     for words, label in rows:
         ids, n = np.unique(np.fromiter((f for w in _listed(words) for f in word_features(w)), np.int32), return_counts=True)
-        found.append((ids, np.minimum(n, 3).astype(np.uint8)))
+        found.append((ids, np.minimum(n, MOST).astype(np.uint8)))
         seen[label, ids] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
     share = (seen[0] + seen[1] + 1) / (len(y) + 2)

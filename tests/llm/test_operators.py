@@ -375,6 +375,16 @@ def test_toxicity_and_counterfactuals(spark, empty):
     assert all(0 <= r.score <= 1 for r in score_toxicity(odd, tied).collect()) and score_toxicity(empty, tied).count() == 0
 
 
+def test_toxicity_scores_with_the_counts_of_fitting():
+    from plumbline.llm.toxicity import fit
+
+    stems = [f"abcd{chr(97 + i)}{chr(97 + j)}x" for i in range(6) for j in range(6)]
+    model = fit([((["abcdzz", "filler"] if i % 2 else ["other", "filler"]), i % 2) for i in range(40)])
+    shared = model.latent("abcdq")
+    assert shared > 0 and model.latent(" ".join(stems[:2])) == pytest.approx(2 * shared)
+    assert model.latent(" ".join(stems)) == pytest.approx(3 * shared)
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
