@@ -181,7 +181,7 @@ def _search(block: list[tuple[str, list[bytes]]], window: int):
                     spans[d] = [{"start": int(a), "end": int(b)} for a, b in own.reshape(-1, 2)]
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 doc_kind = batch.schema.field("docs").type.value_type
-                yield pa.RecordBatch.from_arrays([pa.array(seg.docs, doc_kind), pa.array(seg.tags, pa.int64()), pa.array(lengths, pa.int64()), pa.array(spans, kind), pa.array([sorted(by_doc.get(d, [])) for d in range(len(seg.docs))], pa.list_(pa.string()))], names=["doc", "tag", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(seg.docs, doc_kind), pa.array(seg.tags, pa.int64()), pa.array(lengths, pa.int64()), pa.array(spans, kind), pa.array([sorted(by_doc.get(d, []), key=lambda x: (x is None, x or "")) for d in range(len(seg.docs))], pa.list_(pa.string()))], names=["doc", "tag", "n_words", "spans", "items"])
 
     return run, (terms, sets)
 
@@ -195,7 +195,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     is bounded however large the test sets are; with several blocks, a document's spans are merged afterwards.
 
     Null or empty texts have no words; null and repeated ids are rows of their own; items that repeat count once by id;
-    without items no word is hit; an empty corpus gives no rows; other columns aren't read.
+    items without id are one item, null, which stands last; without items no word is hit; an empty corpus gives no rows; other columns aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     index = build_index(docs, id_col, text_col)

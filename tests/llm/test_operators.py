@@ -335,6 +335,17 @@ def test_decontamination_matches_brute_force(spark, docs, rows, empty, block_wor
     assert [(r.doc, r.position) for r in near] and all("one two" in dict((x[0], (x[1] or "").lower()) for x in rows)[r.doc] for r in near)
 
 
+def test_decontamination_with_items_without_id(spark):
+    from plumbline.llm.decontamination import contaminated_spans, n_hit
+
+    docs = spark.createDataFrame([(1, "one two three"), (2, "two"), (3, "three"), (4, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "two"), (7, "One"), (5, "three"), (None, "one two")], "item_id long, text string")
+    wanted = {1: (3, ["5", "7", None]), 2: (1, [None]), 3: (1, ["5"]), 4: (0, [])}
+    for block_words in (1 << 20, 1):
+        got = contaminated_spans(docs, bench, block_words=block_words).select("doc_id", n_hit().alias("h"), "items").collect()
+        assert {r.doc_id: (r.h, r["items"]) for r in got} == wanted
+
+
 def test_quality_ranks_held_out_rows(spark, empty):
     from plumbline.llm.quality import score_quality, train
 
