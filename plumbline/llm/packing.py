@@ -93,9 +93,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, win
         packer = Packer(size, windows, TaskContext.get().partitionId() << 26)
         for batch in batches:
             schema = schema or arrow(batch.schema.field("doc").type)
-            for rows in slices(batch, "text"):
-                texts = ["" if t is None else t for t in rows.column("text").to_pylist()]
-                for doc, ids in zip(rows.column("doc").to_pylist(), held.encode(texts), strict=True):
+            for rows in slices(batch, "text", 8 << 20):
+                for doc, ids in zip(rows.column("doc").to_pylist(), held.encode_array(rows.column("text")).to_pylist(), strict=True):
                     packer.add_document(doc, ids + end)
                 yield packer.taken(schema)
         packer.close(1)

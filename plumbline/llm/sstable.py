@@ -233,12 +233,12 @@ def write_tables(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         held, writer, first, last = memo(tokenizer), None, None, None
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", 8 << 20):
                 ids = rows.column("id").to_pylist()
                 if writer is None and ids:
                     uri = f"{folder}/{part:06d}-{uuid.uuid4().hex}.sst"
                     writer, first = Writer(uri), ids[0]
-                for doc, raw in zip(ids, held.encode(["" if t is None else t for t in rows.column("text").to_pylist()]), strict=True):
+                for doc, raw in zip(ids, held.encode_array(rows.column("text")).to_pylist(), strict=True):
                     writer.add(doc, raw + end)
                 last = ids[-1] if ids else last
         if writer:
