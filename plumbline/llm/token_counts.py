@@ -33,7 +33,9 @@ def resync_ids(encode: Callable, text: str, chunk_chars: int = 32_768, overlap_c
     ``margin`` characters before the chunk's end is one of the whole text: its boundary is proven. The next
     chunk starts ``overlap_chars`` earlier, at a place that may not be a boundary. Where it has a pre-token
     boundary at a proven one, both continue alike from there, and the ids are spliced. Without a common
-    boundary in the overlap, it is doubled (up to the last proven splice) and the next chunk encoded anew.
+    boundary in the overlap, it is doubled (up to the last proven splice) and the next chunk encoded anew. An overlap
+    reaches back beyond the chunk's last proven boundary at least. A chunk without any is encoded anew at twice
+    its length, so text without boundaries costs in proportion to its length, too.
     """
     n = len(text)
     out: list[np.ndarray] = []
@@ -46,7 +48,14 @@ def resync_ids(encode: Callable, text: str, chunk_chars: int = 32_768, overlap_c
         starts, heads = _boundaries(encoding)
         starts = starts + begin
         proven = {int(s): int(h) for s, h in zip(starts, heads, strict=True) if begin < s <= end - margin}
+        if not proven:
+            end, widened = min(n, end + max(chunk_chars, end - begin)), widened + 1
+            encoding = encode(text[begin:end])
+            chunks += 1
+            continue
         width = overlap_chars
+        if end - width >= (last := max(proven)):
+            width, widened = end - last + overlap_chars, widened + 1
         while True:
             at = max(begin, end - width)
             stop = min(n, end + chunk_chars)
@@ -62,9 +71,6 @@ def resync_ids(encode: Callable, text: str, chunk_chars: int = 32_768, overlap_c
                 # keep only what follows the splice; `begin` moves to it
                 encoding, begin, end = _Tail(following, h, s - at), s, stop
                 break
-            if at == begin:  # the overlap reached the last splice: encode on from there without one
-                encoding, end = following, stop
-                break
             width, widened = width * 2, widened + 1
     out.append(np.array(encoding.ids, dtype="<u4"))
     return np.concatenate(out), chunks, widened
@@ -95,18 +101,16 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         if held.tokenizer.encode("a b", add_special_tokens=False).offsets[-1][0] != 1:
             raise ValueError("a file whose offsets leave spaces out, or which drops them, gives no boundaries to splice at")
         for batch in batches:
-            for rows in slices(batch, "text"):
-                texts = ["" if t is None else t for t in rows.column("text").to_pylist()]
-                short = [i for i, t in enumerate(texts) if len(t) <= chunk_chars]
-                tokens, chunks, widened = [0] * len(texts), [1] * len(texts), [0] * len(texts)
-                for i, raw in zip(short, held.encode([texts[i] for i in short]), strict=True):
-                    tokens[i] = len(raw) // 4
-                for i, t in enumerate(texts):
-                    if len(t) > chunk_chars:
-                        ids, chunks[i], widened[i] = resync_ids(lambda s: held.tokenizer.encode(s, add_special_tokens=False), t, chunk_chars, overlap_chars)
-                        tokens[i] = len(ids)
-                size = pc.fill_null(pc.binary_length(rows.column("text")), 0).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column("id"), size, pa.array(tokens, pa.int64()), pa.array([x > limit for x in tokens]), pa.array(chunks, pa.int32()), pa.array(widened, pa.int32())], names=[id_col, "n_bytes", "n_tokens", "over_limit", "n_chunks", "n_widened"])
+            for rows in slices(batch, "text", 8 << 20):
+                texts = pc.fill_null(rows.column("text"), "")
+                short = pc.less_equal(pc.utf8_length(texts), chunk_chars)
+                tokens = pc.binary_length(held.encode_array(pc.if_else(short, texts, ""))).to_numpy().astype(np.int64) // 4
+                chunks, widened = np.ones(len(tokens), np.int32), np.zeros(len(tokens), np.int32)
+                for i in np.flatnonzero(~short.to_numpy(zero_copy_only=False)).tolist():
+                    ids, chunks[i], widened[i] = resync_ids(lambda s: held.tokenizer.encode(s, add_special_tokens=False), texts[i].as_py(), chunk_chars, overlap_chars)
+                    tokens[i] = len(ids)
+                size = pc.binary_length(texts).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column("id"), size, pa.array(tokens), pa.array(tokens > limit), pa.array(chunks), pa.array(widened)], names=[id_col, "n_bytes", "n_tokens", "over_limit", "n_chunks", "n_widened"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
