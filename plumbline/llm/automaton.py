@@ -1,88 +1,80 @@
-"""Suffix automata over word ids."""
+"""Suffix automata over words."""
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 
 
 class SuffixAutomaton:
-    """The automaton of passages of words, one after another with a separator of its own after each, so that no
-    match crosses two of them. ``vocabulary`` numbers the words; transitions are keyed by state << 32 | word."""
+    """The automaton of passages of words, each with the number of times that it stands in the corpus. After ``count`` a
+    state knows how often its runs of words stand there. No run crosses two passages."""
+
+    def __init__(self) -> None:
+        self.vocabulary: dict[bytes, int] = {}
+        self.following: list[dict[int, int]] = [{}]
+        self.links, self.lengths, self.times = [-1], [0], [0]
 
-    def __init__(self, vocabulary: dict[bytes, int], steps: dict[int, int], links: list[int], lengths: list[int]):
-        self.vocabulary, self.steps, self.links, self.lengths = vocabulary, steps, links, lengths
+    def _state(self, following: dict[int, int], link: int, length: int) -> int:
+        self.following.append(following)
+        self.links.append(link)
+        self.lengths.append(length)
+        self.times.append(0)
+        return len(self.links) - 1
 
-    @classmethod
-    def of(cls, passages: list[list[bytes]]) -> SuffixAutomaton:
-        vocabulary: dict[bytes, int] = {}
-        coded = [[vocabulary.setdefault(w, len(vocabulary)) for w in p] for p in passages]
-        following: list[dict[int, int]] = [{}]
-        links, lengths, last, separator = [-1], [0], 0, len(vocabulary)
-        for p in coded:
-            for c in (*p, separator):
-                state = len(links)
-                following.append({})
-                links.append(0)
-                lengths.append(lengths[last] + 1)
+    def _split(self, at: int, c: int, old: int) -> int:
+        """A state for those runs of ``old`` that are at most one word longer than those of ``at``."""
+        following, links = self.following, self.links
+        made = self._state(dict(following[old]), links[old], self.lengths[at] + 1)
+        while at != -1 and following[at].get(c) == old:
+            following[at][c] = made
+            at = links[at]
+        links[old] = made
+        return made
+
+    def add(self, words: list[bytes], times: int = 1) -> list[int]:
+        """Add a passage; gives its words' numbers."""
+        following, links, lengths, vocabulary = self.following, self.links, self.lengths, self.vocabulary
+        coded = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
+        last = 0
+        for c in coded:
+            to = following[last].get(c)
+            if to is None:
+                state = self._state({}, 0, lengths[last] + 1)
                 at = last
                 while at != -1 and c not in following[at]:
                     following[at][c] = state
                     at = links[at]
                 if at != -1:
                     old = following[at][c]
-                    if lengths[at] + 1 == lengths[old]:
-                        links[state] = old
-                    else:
-                        copy = len(links)
-                        following.append(dict(following[old]))
-                        links.append(links[old])
-                        lengths.append(lengths[at] + 1)
-                        while at != -1 and following[at].get(c) == old:
-                            following[at][c] = copy
-                            at = links[at]
-                        links[old] = links[state] = copy
+                    links[state] = old if lengths[at] + 1 == lengths[old] else self._split(at, c, old)
                 last = state
-            separator += 1
-        steps = {s << 32 | c: t for s, own in enumerate(following) for c, t in own.items()}
-        return cls(vocabulary, steps, links, lengths)
+            else:
+                last = to if lengths[last] + 1 == lengths[to] else self._split(last, c, to)
+            self.times[last] += times
+        return coded
 
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        words = b"\n".join(self.vocabulary)  # words hold no white space
-        np.savez_compressed(out, words=np.frombuffer(words, np.uint8), keys=np.fromiter(self.steps.keys(), np.int64), targets=np.fromiter(self.steps.values(), np.int32), links=np.array(self.links, np.int32), lengths=np.array(self.lengths, np.int32))
-        return out.getvalue()
+    def count(self) -> None:
+        """Once all passages are in: a run stands wherever a longer one stands that ends with it."""
+        times, links = self.times, self.links
+        for state in np.argsort(-np.array(self.lengths), kind="stable").tolist()[:-1]:
+            times[links[state]] += times[state]
 
-    @classmethod
-    def load(cls, raw: bytes) -> SuffixAutomaton:
-        kept = np.load(io.BytesIO(raw))
-        words = kept["words"].tobytes().split(b"\n")
-        return cls({w: i for i, w in enumerate(words)}, dict(zip(kept["keys"].tolist(), kept["targets"].tolist(), strict=True)), kept["links"].tolist(), kept["lengths"].tolist())
-
-    def long_matches(self, words: list[bytes], least: int) -> list[tuple[int, int]]:
-        """Maximal spans of ``words`` covered by matches of at least ``least`` words, from the matching statistics:
-        for each word, the longest run ending there that a passage holds."""
-        steps, links, lengths, known = self.steps, self.links, self.lengths, self.vocabulary.get
-        spans: list[tuple[int, int]] = []
+    def repeats(self, coded: list[int], least: int) -> list[int]:
+        """Where runs of ``least`` words start that stand in the corpus at least twice, from the matching statistics: for
+        each word, the longest run ending there that stands there twice."""
+        following, links, lengths, times = self.following, self.links, self.lengths, self.times
+        found: list[int] = []
         state = length = 0
-        for i, w in enumerate(words):
-            c = known(w)
-            if c is None:
-                state = length = 0
-                continue
-            to = steps.get(state << 32 | c)
-            while to is None and state:
+        for i, c in enumerate(coded):
+            to = following[state].get(c)
+            while state and (to is None or times[to] < 2):
                 state = links[state]
                 length = lengths[state]
-                to = steps.get(state << 32 | c)
-            if to is None:
+                to = following[state].get(c)
+            if to is None or times[to] < 2:
                 length = 0
                 continue
             state, length = to, length + 1
             if length >= least:
-                if spans and spans[-1][1] >= i + 1 - least:
-                    spans[-1] = (spans[-1][0], i + 1)
-                else:
-                    spans.append((i + 1 - least, i + 1))
-        return spans
+                found.append(i + 1 - least)
+        return found

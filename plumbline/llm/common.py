@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,16 +14,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all
+    runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+def kept_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, as a table in the shared folder; the scratch tables that it made on the way are removed."""
+    scope: list[str] = []
+    _scopes.append(scope)
+    try:
+        df = make()
+    except BaseException:
+        _scopes.remove(scope)
+        raise
+    _scopes.remove(scope)
+    out = materialise(df, name)
+    for path in scope:
+        remove_scratch(spark, path)
+    release(spark)
+    return out
 
 
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -50,6 +77,36 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Scratch:
+    """The scratch tables of one run of an operator, by name, dropped as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table in the shared folder; shuffle files that led to it can go."""
+        self.paths[name] = path = scratch_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        release(self.spark)
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove_scratch(self.spark, self.paths.pop(name))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        made = f"_{name}"
+        while made.lower() in taken:
+            made = f"_{made}"
+        out.append(made)
+    return out
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows whose texts hold about ``most_bytes`` each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

@@ -33,19 +33,14 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers_to(n: int) -> list[np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2 ** 64."""
     if len(_powers[0]) < n:
-        odd = int(_P)
+        odd, n = int(_P), 1 << (n - 1).bit_length()
         for i, base in enumerate((odd, pow(odd, -1, 1 << 64))):
             _powers[i] = np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)))
     return _powers
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text, parted at ASCII white space.
-
-    All bytes of all texts at once: a word's hash is the difference of two prefix sums of byte values times powers,
-    shifted to the word's start. Words of over 512 bytes, for which such sums can be made to meet, are hashed singly.
-    """
-    raw = b" ".join(texts) + b" "
+def _hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of ``raw``, which ends with white space."""
     b = np.frombuffer(raw, np.uint8)
     edge = np.diff(_SPACE[b].astype(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -55,8 +50,39 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     h = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _P)
     for i in np.flatnonzero(ends - starts > 512):
         h[i] = xxhash.xxh64_intdigest(raw[starts[i] : ends[i]])
-    bounds = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
-    return np.split(h, bounds[:-1]) if texts else []
+    return starts, h
+
+
+def word_starts(raw: bytes) -> np.ndarray:
+    """Where the words of ``raw`` start."""
+    space = _SPACE[np.frombuffer(raw, np.uint8)]
+    return np.flatnonzero(~space & np.append(True, space[:-1])) if len(raw) else np.zeros(0, np.int64)
+
+
+def joined_hashes(texts: list[bytes], block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, parted at ASCII white space, and where each text's begin and the last's end.
+
+    All bytes of some ``block`` at once, up to a space: a word's hash is the difference of two prefix sums of byte values
+    times powers, shifted to the word's start. Words of over 512 bytes, for which such sums can be made to meet, are
+    hashed singly.
+    """
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    raw = b" ".join(texts) + b" "
+    found, at = [], 0
+    while at < len(raw):
+        end = raw.rfind(b" ", at, at + block) + 1 or raw.find(b" ", at + block) + 1
+        starts, h = _hashes(raw[at:end])
+        found.append((starts + at, h))
+        at = end
+    bounds = np.searchsorted(np.concatenate([s for s, _ in found]), np.cumsum([0] + [len(t) + 1 for t in texts]))
+    return np.concatenate([h for _, h in found]), bounds
+
+
+def word_hashes(texts: list[bytes], block: int = 1 << 18) -> list[np.ndarray]:
+    """``joined_hashes``, for each text."""
+    hashes, bounds = joined_hashes(texts, block)
+    return np.split(hashes, bounds[1:-1]) if texts else []
 
 
 def shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -231,8 +257,8 @@ def links_between(ids: np.ndarray, labels: np.ndarray, first: np.ndarray, sets:
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves: int = 16, rows: int = 3, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (least id reachable over links), kept.
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves: int = 16, rows: int = 3, block: int = 512, block_shingles: int = 250_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id (an integer), n_shingles, component_id (least id reachable over links), kept.
 
     Two texts are linked if 100 * |intersection| >= percent * |union| of their distinct ``width``-word shingles.
 
@@ -244,8 +270,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     * In each bucket all members are compared with its head, the one that meets most others, on full sets; links give
       components. Texts that are at least 0.2 alike to common heads form clusters. What a head leaves open gets further heads,
       until all linked pairs of a bucket are in one cluster. A cluster of one component is done. The
-      others are compared exactly, within ``block`` by ``block`` texts a task, which hands on a spanning set of the links
-      that join components. So no table of pairs arises, a group of near copies of any size is split over tasks, and
+      others are compared exactly, within ``block`` by ``block`` texts a task, or fewer that have about ``block_shingles``
+      shingles, which hands on a spanning set of the links that join components. So no table of pairs arises, a group of near copies of any size is split over tasks, and
       each text is sent once for each ``block`` texts of its cluster.
     * Components come from minima that travel along links. Buckets' minima and counts are taken before each exchange;
       no bucket is ever gathered in one task.
@@ -286,7 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     sets = shingle_sets(narrow.join(sources.hint("merge"), stands).select(F.col("node").alias("id"), "text"), width).dropDuplicates(["id"])
     if united is not None:
         sets = sets.unionByName(united.join(sources.where("source_tag is null"), F.col("id") == F.col("source_id")).select(F.col("node").alias("id"), "shingles"))
-    sets = materialise(sets, "sets")
+    sets = materialise(sets.withColumn("size", F.size("shingles")), "sets")
     release(spark)
     near = F.expr(f"100 * both >= {percent} * any")
     told = compared(members, sets, percent)
@@ -295,7 +321,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     # what the heads leave open: clusters of several components, compared block by block
     clusters = components(told.where("5 * both >= any").select("a", "b")).select("id", F.col("component").alias("cluster"))
     placed = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("low != high")
+    mixed = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("cluster")
+    placed = placed.join(mixed, "cluster", "left_semi").join(sets.select("id", "size"), "id")
+    mixed = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / block_shingles)).cast("int").alias("blocks"))
     dealt = placed.join(mixed, "cluster").join(sets.select(F.col("id").alias("other_id"), "shingles"), F.col("id") == F.col("other_id")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     pairs = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "shingles")
 

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.automaton import SuffixAutomaton
-from plumbline.llm.common import materialise, release, scratch_path, slices
-from plumbline.llm.near_dedup import _mix, _P, _signed, word_hashes
-
-_loaded: dict[str, SuffixAutomaton] = {}
+from plumbline.llm.common import Scratch, free_names, slices
+from plumbline.llm.near_dedup import _mix, _P, _powers_to, _signed, joined_hashes, word_starts
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -23,169 +20,175 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def runs(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """A hash of every run of ``width`` words."""
-    n = len(hashes) - width + 1
-    out = np.full(max(0, n), np.uint64(width + seed))
-    for i in range(width if n > 0 else 0):
-        out = _mix(out * _P + hashes[i : i + n])
-    return out
+class Spans:
+    """Hashes of runs of words."""
 
+    def __init__(self, hashes: np.ndarray):
+        self.up, self.down = _powers_to(len(hashes) + 1)
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(_mix(hashes + _P) * self.up[: len(hashes)], out=self.sums[1:])
 
-def anchors(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the anchors: the first least ``gram``-word run of every window. Which run of a window it
-    is depends on the window's words alone, so equal windows have equal anchors at equal places."""
-    if len(hashes) < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    grams = runs(hashes, gram)
-    inner = window - gram + 1
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, inner).argmin(axis=1) + np.arange(len(grams) - inner + 1))
-    return grams[at], at
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of the runs from one of ``starts`` to before one of ``ends``."""
+        return _mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * _P)
+
+    def grams(self, width: int) -> np.ndarray:
+        """Of all runs of ``width`` words."""
+        n = max(0, len(self.sums) - width)
+        return _mix((self.sums[width:] - self.sums[:n]) * self.down[:n] + np.full(n, width, np.uint64) * _P)
 
 
-def window_starts(positions: np.ndarray, n: int, window: int, gram: int) -> np.ndarray:
-    """Starts of the windows that hold an anchor at one of ``positions``."""
-    cover = np.zeros(n + 2, np.int64)
-    np.add.at(cover, np.maximum(0, positions - (window - gram)), 1)
-    np.add.at(cover, positions + 1, -1)
-    starts = np.flatnonzero(np.cumsum(cover) > 0)
-    return starts[starts <= n - window]
+_PLACE = np.uint64((1 << 20) - 1)
 
 
-def _automaton(path: str) -> SuffixAutomaton:
-    if path not in _loaded:
-        while len(_loaded) >= 2:
-            _loaded.pop(next(iter(_loaded)))
-        system, place = fs.FileSystem.from_uri(path)
-        with system.open_input_file(place) as f:
-            _loaded[path] = SuffixAutomaton.load(f.read())
-    return _loaded[path]
+def _least(grams: np.ndarray, inner: int) -> np.ndarray:
+    """For each run of ``inner`` grams, where the first least one stands, by their upper 44 bits."""
+    out, step = [], 1 << 19
+    for low in range(0, max(1, len(grams) - inner + 1), step):
+        some = grams[low : low + step + inner - 1]
+        best, width = some & ~_PLACE | np.arange(len(some), dtype=np.uint64), 1
+        while 2 * width <= inner:
+            best, width = np.minimum(best[:-width], best[width:]), 2 * width
+        if inner > width:
+            best = np.minimum(best[: width - inner], best[inner - width :])
+        out.append((best & _PLACE).astype(np.int64) + low)
+    return np.concatenate(out)
+
+
+def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int, spans: Spans | None = None) -> tuple[np.ndarray, ...]:
+    """(text, hash, position, first window, windows) of the anchors of texts whose words lie between ``bounds``: the first
+    least ``gram``-word run of every window. Which run of a window it is depends on the window's words alone, so equal
+    windows have equal anchors at equal places. The windows of an anchor follow each other. Places are of all words."""
+    none = np.zeros(0, np.int64)
+    if len(hashes) < window:
+        return none, none.astype(np.uint64), none, none, none
+    grams = (spans or Spans(hashes)).grams(gram)
+    at = _least(grams, window - gram + 1)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    whole = np.flatnonzero(np.arange(len(at)) + window <= bounds[1:][text[: len(at)]])
+    at = at[whole]
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    return text[at[new]], grams[at[new]], at[new], whole[new], np.diff(np.append(new, len(at)))
 
 
-def repeated_spans(texts: DataFrame, window: int = 35, gram: int = 16, shard_words: int = 100_000, shard_documents: int = 2_000) -> DataFrame:
-    """``key`` and ``spans``, word ranges, of the texts (``key``, ``text``) that hold windows which also start elsewhere.
+def repeated_windows(texts: DataFrame, scratch: Scratch, window: int = 35, gram: int = 16, shard_words: int = 100_000, most_pieces: int = 2_000) -> DataFrame:
+    """``key`` and ``windows``, pairs of a window's start and the bits of the windows from there on, of the texts (``key``,
+    ``text``) that hold windows which also start elsewhere.
 
     1. Anchors. From each text a winnowed tenth of its ``gram``-word runs; their counts over the corpus tell which texts
        and places can repeat at all. Equal texts are one row with a multiplicity from here on.
-    2. Reference. At those places windows are counted by a 96-bit hash, minima and sums before the exchange; one
-       occurrence of each repeated window is kept. Consecutive ones join to passages, so that the reference holds each
-       repeated passage about once, whatever the number of its copies, and nothing else.
-    3. Shards. Passages of up to ``shard_words`` words make a suffix automaton, published in the shared folder with the
-       anchors that it holds.
-    4. Matching. The words around a text's anchors go to the automata that hold them, in groups of about
-       ``shard_documents`` texts for each, and are streamed for matching statistics: runs of ``window`` words or more that
-       a passage holds. So an automaton travels to the tasks that need it, and its use by many texts is split.
+    2. Pieces. The windows of one anchor follow each other; their words are a piece. Equal pieces are counted by hash,
+       partial counts first, and one of them stands for all. An anchor with one piece that stands twice repeats whole.
+    3. Reference shards. The different pieces of the other anchors are dealt by anchor, so that a shard holds all that can
+       repeat a window of its own; pieces of up to ``shard_words`` words make a suffix automaton, whose states know how
+       often their words stand in the corpus. The pieces are streamed against it for matching statistics: runs of
+       ``window`` words or more that stand there twice. An automaton that travelled to all documents would meet every
+       document of the corpus; this one meets just those pieces of documents that share an anchor with it.
+    4. Anchors with more than ``most_pieces`` different pieces, the edges of very common passages, would make an automaton
+       without bound. Their windows are counted by hash, partial counts first, which splits them over all tasks.
     """
-    spark = texts.sparkSession
+    gram = min(gram, window)
+    gram = max(gram, window - 61)  # the windows of an anchor are bits of a long
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                hashed = word_hashes([(t or "").encode() for t in part.column("text").to_pylist()])
-                kept = [(k, *anchors(h, window, gram)) for k, h in zip(part.column("key").to_pylist(), hashed, strict=True)]
-                kept = [x for x in kept if len(x[1])]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in kept], pa.binary()), pa.array([_signed(h) for _, h, _ in kept], pa.list_(pa.int64())), pa.array([p.astype(np.int32) for _, _, p in kept], pa.list_(pa.int32()))], names=["key", "hashes", "positions"])
+                hashes, bounds = joined_hashes(part.column("text").cast(pa.binary()).to_pylist())
+                text, hash_, place, _, _ = anchors(hashes, bounds, window, gram)
+                kept, n = np.unique(text, return_counts=True)
+                ends = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(_signed(hash_)), pa.array((place - bounds[text]).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(kept)), *lists], names=["key", "hashes", "positions"])
 
     found = texts.mapInArrow(find, "key binary, hashes array<long>, positions array<int>")
-    own = materialise(found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("hashes").alias("hashes"), F.first("positions").alias("positions")), "anchors")
-    each = own.select("key", "copies", F.explode(F.arrays_zip("hashes", "positions")).alias("x")).select("key", "copies", F.col("x.hashes").alias("hash"), F.col("x.positions").alias("position"))
+    own = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("hashes").alias("hashes"), F.first("positions").alias("positions"))
+    own = scratch.keep(own.withColumn("node", F.monotonically_increasing_id()), "anchors")
+    each = own.select("node", "copies", F.explode(F.arrays_zip("hashes", "positions")).alias("x")).select("node", "copies", F.col("x.hashes").alias("hash"), F.col("x.positions").alias("position"))
     live = each.groupBy("hash").agg(F.sum("copies").alias("n")).where("n > 1").select("hash")
-    hits = each.join(live, "hash").groupBy("key").agg(F.max("copies").alias("copies"), F.collect_list("position").alias("positions"), F.collect_list("hash").alias("hashes"))
-    chosen = hits.join(texts.dropDuplicates(["key"]), "key").withColumn("node", F.monotonically_increasing_id())
-    chosen = materialise(chosen, "candidates")
-    release(spark)
+    hits = scratch.keep(each.select("node", "hash", "position").join(live, "hash").groupBy("node").agg(F.collect_list("position").alias("positions")), "live")
+    wanted = hits.join(own.select("node", "key", "copies"), "node")
+    chosen = scratch.keep(wanted.join(texts.dropDuplicates(["key"]), "key"), "candidates")
+    scratch.drop("anchors", "live")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                cols: list[list] = [[], [], [], [], []]
-                hashed = word_hashes([(t or "").encode() for t in part.column("text").to_pylist()])
-                for node, copies, hashes, at in zip(*(part.column(c).to_pylist() for c in ("node", "copies")), hashed, part.column("positions").to_pylist(), strict=True):
-                    starts = window_starts(np.array(at, np.int64), len(hashes), window, gram)
-                    one, two = runs(hashes, window)[starts], runs(hashes, window, 1)[starts]
-                    for c, x in zip(cols, (_signed(one), (two >> np.uint64(33)).astype(np.int32), np.full(len(starts), node), starts.astype(np.int32), np.full(len(starts), copies)), strict=True):
-                        c.append(x)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["one", "two", "node", "start", "copies"])
-
-    counted = chosen.mapInArrow(windows, "one long, two int, node long, start int, copies long")
-    first = F.min(F.struct("node", "start")).alias("first")
-    repeated = counted.groupBy("one", "two").agg(F.sum("copies").alias("n"), first).where("n > 1").select("first.*")
-    places = repeated.groupBy("node").agg(F.sort_array(F.collect_list("start")).alias("starts"))
-    folder = scratch_path(spark, "automata")
-
-    def passages_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The passages, each with its least anchor: alike ones have the same one and so come to one automaton."""
-        for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                found: list[bytes] = []
-                for text, starts in zip(part.column("text").to_pylist(), part.column("starts").to_pylist(), strict=True):
-                    words, at = words_of(text), np.array(starts)
-                    found += [b" ".join(words[run[0] : run[-1] + window]) for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)]
-                least = [int(_signed(anchors(h, window, gram)[0]).min()) for h in word_hashes(found)]
-                yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array([f.decode() for f in found], pa.string())], names=["least", "words"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages: list[list[bytes]] = []
-        held = 0
-
-        def publish() -> pa.RecordBatch:
-            name = uuid.uuid4().hex[:16]
-            system, place = fs.FileSystem.from_uri(f"{folder}/{name}.npz")
-            system.create_dir(place.rpartition("/")[0], recursive=True)
-            with system.open_output_stream(place, compression=None) as f:
-                f.write(SuffixAutomaton.of(passages).dump())
-            hashed = word_hashes([b" ".join(p) for p in passages])
-            hashes = _signed(np.unique(np.concatenate([anchors(h, window, gram)[0] for h in hashed])))
-            return pa.RecordBatch.from_arrays([pa.array([name] * len(hashes)), pa.array(hashes)], names=["shard", "hash"])
-
-        for batch in batches:
-            for words in batch.column("words").to_pylist():
-                passages.append(words.encode().split())
-                held += len(passages[-1])
-                if held >= shard_words:
-                    yield publish()
-                    passages, held = [], 0
-        if passages:
-            yield publish()
-
-    passages = places.join(chosen.select("node", "text"), "node").select("text", "starts").mapInArrow(passages_of, "least long, words string")
-    routes = materialise(passages.repartition("least").sortWithinPartitions("least").mapInArrow(build, "shard string, hash long"), "routes")
-    release(spark)
-    at = F.explode(F.arrays_zip("hashes", "positions")).alias("x")
-    wanted = chosen.select("node", at).select("node", F.col("x.hashes").alias("hash"), F.col("x.positions").alias("position")).join(routes, "hash").groupBy("node", "shard").agg(F.collect_list("position").alias("positions"))
-    wanted = materialise(wanted, "wanted")
-    share = wanted.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_documents).alias("parts"))
-    dealt = wanted.join(share, "shard").groupBy("node").agg(F.collect_list(F.struct("shard", "parts", "positions")).alias("to"))
+            for part in slices(batch, "text", 2 << 20):
+                hashes, bounds = joined_hashes(part.column("text").cast(pa.binary()).to_pylist())
+                spans = Spans(hashes)
+                text, hash_, place, first, n = anchors(hashes, bounds, window, gram, spans)
+                lists = part.column("positions")
+                alive = lists.flatten().to_numpy() + bounds[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())]
+                live = np.isin(place, alive)
+                text, hash_, first, n = text[live], hash_[live], first[live], n[live]
+                cols = [_signed(hash_), _signed(spans(first, first + n - 1 + window)), part.column("node").to_numpy()[text], (first - bounds[text]).astype(np.int32), n.astype(np.int32), part.column("copies").to_numpy()[text]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hash", "piece", "node", "first", "n", "copies"])
+
+    standing = scratch.keep(chosen.mapInArrow(pieces, "hash long, piece long, node long, first int, n int, copies long"), "pieces")
+    different = scratch.keep(standing.groupBy("hash", "piece").agg(F.sum("copies").alias("copies"), F.min(F.struct("node", "first", "n")).alias("at")), "different")
+    anchor = different.groupBy("hash").agg(F.count(F.lit(1)).alias("pieces"), F.sum("copies").alias("all")).where("all > 1")
+    asked = scratch.keep(different.join(anchor.select("hash", "pieces"), "hash").select("hash", "piece", "copies", "pieces", "at.*"), "asked")
+    scratch.drop("different")
+    alone = asked.where("pieces = 1").select("hash", "piece", F.expr("shiftleft(1L, n) - 1").alias("bits"))
+    at = F.collect_list(F.struct("hash", "piece", "copies", "pieces", "first", "n")).alias("at")
+    cuttable = scratch.keep(asked.where("pieces > 1").groupBy("node").agg(at).join(chosen.select("node", "text"), "node").select("text", "at"), "cuttable")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The runs of words of each text that each automaton is asked about."""
-        names = ["key", "shard", "part", "at", "words"]
+        """The words of the pieces that automata are made of."""
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 2 << 20):
                 rows = []
-                for node, key, text, to in zip(*(part.column(c).to_pylist() for c in ("node", "key", "text", "to")), strict=True):
+                for text, places in zip(part.column("text").to_pylist(), part.column("at").to_pylist(), strict=True):
                     words = words_of(text)
-                    for x in to:
-                        starts = window_starts(np.array(x["positions"], np.int64), len(words), window, gram)
-                        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else []:
-                            rows.append((key, x["shard"], node % x["parts"], int(run[0]), b" ".join(words[run[0] : run[-1] + window]).decode()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=names)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+                    rows += [(x["hash"], x["piece"], x["copies"], b" ".join(words[x["first"] : x["first"] + x["n"] - 1 + window]).decode()) for x in places if x["pieces"] <= most_pieces]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["hash", "piece", "copies", "words"])
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Build an automaton of the pieces of some anchors and stream them against it."""
+
+        def told(held: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+            automaton = SuffixAutomaton()
+            coded = [automaton.add(words.encode().split(), copies) for _, _, copies, words in held]
+            automaton.count()
+            bits = [sum(1 << i for i in automaton.repeats(c, window)) for c in coded]
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(bits, pa.int64())], names=["hash", "piece", "bits"])
+
+        held: list[tuple[int, int, int, str]] = []
+        size = 0
         for batch in batches:
-            rows = []
-            for key, shard, at, words in zip(*(batch.column(c).to_pylist() for c in ("key", "shard", "at", "words")), strict=True):
-                spans = _automaton(f"{folder}/{shard}.npz").long_matches(words.encode().split(), window)
-                if spans:
-                    rows.append((key, [{"start": at + a, "end": at + b} for a, b in spans]))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([s for _, s in rows], kind)], names=["key", "spans"])
-
-    asked = dealt.join(chosen.select("node", "key", "text"), "node").mapInArrow(cut, "key binary, shard string, part long, at long, words string")
-    matched = asked.repartition("shard", "part").sortWithinPartitions("shard").mapInArrow(match, "key binary, spans array<struct<start: int, end: int>>")
-    out = materialise(matched.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    release(spark)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "piece", "copies", "words")), strict=True):
+                if size >= shard_words and row[0] != held[-1][0]:
+                    yield told(held)
+                    held, size = [], 0
+                held.append(row)
+                size += row[3].count(" ") + 1
+        if held:
+            yield told(held)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of the pieces of the anchors that have very many."""
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                cols: list[list] = [[], [], [], [], []]
+                for text, places in zip(part.column("text").to_pylist(), part.column("at").to_pylist(), strict=True):
+                    places = [x for x in places if x["pieces"] > most_pieces]
+                    spans = Spans(joined_hashes([text.encode()])[0]) if places else None
+                    for x in places:
+                        starts = np.arange(x["first"], x["first"] + x["n"])
+                        for c, y in zip(cols, (np.full(x["n"], x["hash"]), np.full(x["n"], x["piece"]), _signed(spans(starts, starts + window)), np.int64(1) << np.arange(x["n"]), np.full(x["n"], x["copies"])), strict=True):
+                            c.append(y)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["hash", "piece", "window", "bit", "copies"])
+
+    dealt = cuttable.mapInArrow(cut, "hash long, piece long, copies long, words string").repartition("hash").sortWithinPartitions("hash")
+    told = dealt.mapInArrow(matched, "hash long, piece long, bits long")
+    common = cuttable.mapInArrow(windows, "hash long, piece long, window long, bit long, copies long")
+    twice = common.groupBy("hash", "window").agg(F.sum("copies").alias("all")).where("all > 1").select("hash", "window")
+    counted = common.join(twice, ["hash", "window"]).groupBy("hash", "piece").agg(F.bit_or("bit").alias("bits"))
+    decided = scratch.keep(alone.unionByName(told).unionByName(counted).where("bits != 0"), "decided")
+    scratch.drop("asked", "cuttable")
+    back = standing.select("hash", "piece", "node", "first").join(decided, ["hash", "piece"]).groupBy("node").agg(F.collect_list(F.struct("first", "bits")).alias("windows"))
+    out = scratch.keep(back.join(chosen.select("node", "key"), "node").select("key", "windows"), "windows")
+    scratch.drop("candidates", "pieces", "decided")
     return out
 
 
@@ -196,34 +199,48 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", re
 
     Null and empty texts have no words and stay. Equal texts of ``window`` words or more lose all words, as each repeats
     the other. Repeated and null ids don't matter (no id is used); an empty table gives no rows; other columns pass
-    through, those named as the two counts are replaced.
+    through, whatever their names; those named as the two counts are replaced.
     """
+    scratch = Scratch(docs.sparkSession)
     kept = [c for c in docs.columns if c not in (removed_col, words_col)]
-    keyed = docs.select(*[f"`{c}`" for c in kept], F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))).alias("_key"))
-    texts = keyed.select(F.col("_key").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    spans = repeated_spans(texts, window).select(F.col("key").alias("_other"), F.col("spans").alias("_spans"))
-    joined = keyed.join(spans, F.col("_key") == F.col("_other"), "left").drop("_key", "_other")
+    key_col, found_col = free_names(docs, "key", "windows")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))).alias(key_col))
+    texts = keyed.select(F.col(key_col).alias("key"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    found = repeated_windows(texts, scratch, window).withColumnsRenamed({"key": key_col, "windows": found_col})
+    joined = keyed.join(found, key_col, "left").drop(key_col)
+
+    def left_of(text: str, found: list[dict]) -> tuple[str, int]:
+        """The words of a text that no repeated window covers, and how many are covered."""
+        words = words_of(text)
+        cover = np.zeros(len(words) + 1, np.int64)
+        for x in found:
+            own, bits = [], x["bits"]
+            while bits:
+                low = bits & -bits
+                own.append(x["first"] + low.bit_length() - 1)
+                bits ^= low
+            cover[own] += 1
+            cover[[i + window for i in own]] -= 1
+        left = [w for w, n in zip(words, np.cumsum(cover[:-1]).tolist(), strict=True) if not n]
+        return b" ".join(left).decode(), len(words) - len(left)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
-                texts, n_words, n_removed = [], [], []
-                for text, found in zip(part.column(text_col).to_pylist(), part.column("_spans").to_pylist(), strict=True):
-                    words = words_of(text)
-                    n = len(words)
-                    if found:
-                        gone = np.zeros(n, bool)
-                        for s in found:
-                            gone[s["start"] : s["end"]] = True
-                        left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                        text = b" ".join(left).decode()
-                        n_removed.append(n - len(left))
-                    else:
-                        n_removed.append(0)
-                    texts.append(text)
-                    n_words.append(n)
-                columns = [pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*kept, words_col, removed_col])
+                texts = part.column(text_col).cast(pa.string())
+                raws = pc.fill_null(texts.cast(pa.binary()), b"").to_pylist()
+                ends = np.cumsum([0] + [len(r) + 1 for r in raws])
+                n_words = np.diff(np.searchsorted(word_starts(b" ".join(raws) + b" "), ends))
+                n_removed = np.zeros(len(raws), np.int64)
+                touched = np.flatnonzero(part.column(found_col).is_valid().to_numpy(zero_copy_only=False))
+                if len(touched):
+                    made = [left_of(raws[i].decode(), part.column(found_col)[i].as_py()) for i in touched.tolist()]
+                    n_removed[touched] = [n for _, n in made]
+                    mask = np.zeros(len(raws), bool)
+                    mask[touched] = True
+                    texts = pc.replace_with_mask(texts, pa.array(mask), pa.array([t for t, _ in made], pa.string()))
+                columns = [texts if c == text_col else part.column(c) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed)], names=[*kept, words_col, removed_col])
 
     ddl = docs.select(*[f"`{c}`" for c in kept]).schema.toDDL()
     return joined.mapInArrow(run, f"{ddl}, `{words_col}` long, `{removed_col}` long")
