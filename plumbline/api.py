@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import logging
+import warnings
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -20,7 +21,7 @@ from plumbline.sources.config import config, resolve, set_config
 from plumbline.sources.contracts import as_contract
 from plumbline.sources.datasets import SourceSpec, describe, load
 
-__all__ = ["annotate", "compare", "config", "describe_rule", "diff", "draft", "explain", "get_annotations", "get_history", "get_profile", "get_run", "get_run_with_annotations", "has_runs", "health", "list_profiles", "list_rules", "profile", "profile_diff", "profile_relationship", "resolve", "set_config", "validate", "validate_decorator", "compare_profiles", "rule"]
+__all__ = ["annotate", "compare", "config", "describe_rule", "diff", "draft", "explain", "get_annotations", "get_history", "get_profile", "get_run", "get_run_with_annotations", "has_runs", "health", "list_profiles", "list_rules", "list_runs", "scout", "scout_diff", "suggest_rules", "profile", "profile_diff", "profile_relationship", "resolve", "set_config", "validate", "validate_decorator", "compare_profiles", "rule"]
 
 compare_profiles = profiler.compare_profiles
 
@@ -104,26 +105,30 @@ def explain(data: Any, contract: Any = None, rules: list[Any] | None = None, tal
     return Plan(load(spark, data), build_rules(as_contract(contract, rules).rules), tally, _footer(data)).explain()
 
 
-def profile(data: Any, preset: str = "scan", *, columns: list[str] | None = None, sample: int | None = None, percentiles: tuple[int, ...] | None = None, store: HistoryStore | None = None, storage_options: dict | None = None, spark: SparkSession | None = None) -> profiler.DatasetProfile:
+def profile(data: Any, preset: str = "scan", *, columns: list[str] | None = None, sample: int | None = None, sample_by: str = "rows", sample_share: float | None = None, percentiles: tuple[int, ...] | None = None, store: HistoryStore | None = None, storage_options: dict | None = None, spark: SparkSession | None = None) -> profiler.DatasetProfile:
     spark = data.sparkSession if isinstance(data, DataFrame) else _spark(spark)
     read = _footer(data)
-    out = profiler.profile(load(spark, data, storage_options), preset, describe(data), columns, sample, percentiles, read() if read and profiler.PRESETS.get(preset, {}).get("metadata") else None)
+    df = load(spark, data, storage_options)
+    if preset == "strategic":
+        out = profiler.strategic_profile(df if columns is None else df.select(*[c for c in df.columns if c in columns]), describe(data))
+    else:
+        out = profiler.profile(df, preset, describe(data), columns, sample, percentiles, read() if read and profiler.PRESETS.get(preset, {}).get("metadata") else None, sample_by=sample_by, sample_share=sample_share)
     if store:
         store.save_profile(out, out.source)
     return out
 
 
-def draft(data: Any, min_confidence: float = 0.0, as_yaml: bool = False, **options: Any) -> list[profiler.Suggestion] | str:
+def draft(data: Any, min_confidence: float = 0.5, as_yaml: bool = False, **options: Any) -> list[profiler.Suggestion] | str:
     p = data if isinstance(data, profiler.DatasetProfile) else profile(data, "interrogate", **options)
     return profiler.draft_yaml(p, min_confidence=min_confidence) if as_yaml else profiler.draft(p, min_confidence)
 
 
-def compare(before: Any, after: Any, key=None, *, before_key=None, after_key=None, sample_limit: int = 5, spark: SparkSession | None = None) -> dict[str, Any]:
+def compare(before: Any, after: Any, key=None, *, before_key=None, after_key=None, sample_limit: int = 5, spark: SparkSession | None = None) -> _compare.Report:
     spark = before.sparkSession if isinstance(before, DataFrame) else _spark(spark)
     return _compare.compare(load(spark, before), load(spark, after), key, before_key, after_key, sample_limit)
 
 
-def profile_relationship(left: Any, right: Any, on=None, *, left_on=None, right_on=None, sample_limit: int = 5, spark: SparkSession | None = None) -> dict[str, Any]:
+def profile_relationship(left: Any, right: Any, on=None, *, left_on=None, right_on=None, sample_limit: int = 5, spark: SparkSession | None = None) -> _compare.Report:
     spark = left.sparkSession if isinstance(left, DataFrame) else _spark(spark)
     return _compare.profile_relationship(load(spark, left), load(spark, right), on, left_on, right_on, sample_limit)
 
@@ -136,8 +141,8 @@ def get_history(contract: Any, store: HistoryStore, limit: int | None = None, si
     return [r.asDict() for r in store.runs(_fp(contract), since, failed_only, limit).collect()]
 
 
-def get_run(contract: Any, store: HistoryStore, run_id: str | None = None) -> dict[str, Any] | None:
-    return store.run(_fp(contract), run_id)
+def get_run(contract: Any, store: HistoryStore, run_id: str | None = None, at=None) -> dict[str, Any] | None:
+    return store.run(_fp(contract), run_id, at=at)
 
 
 def has_runs(contract: Any, store: HistoryStore) -> bool:
@@ -184,6 +189,18 @@ def profile_diff(store: HistoryStore, source: str) -> dict[str, Any] | None:
     return profiler.compare_profiles(store.profile(source, two[1]), store.profile(source, two[0])) if len(two) == 2 else None
 
 
+def _renamed(old: str, new: str) -> Callable:
+    def run(*args: Any, **kwargs: Any) -> Any:
+        warnings.warn(f"{old} is deprecated, use {new}", DeprecationWarning, stacklevel=2)
+        return globals()[new](*args, **kwargs)
+
+    run.__name__, run.__doc__ = old, f"The former name of ``{new}``."
+    return run
+
+
+scout, suggest_rules, scout_diff, list_runs = _renamed("scout", "profile"), _renamed("suggest_rules", "draft"), _renamed("scout_diff", "profile_diff"), _renamed("list_runs", "get_history")
+
+
 def list_rules() -> list[dict[str, Any]]:
     return [describe_rule(n) for n in sorted(REGISTRY)]
 

@@ -33,7 +33,7 @@ def _parser() -> argparse.ArgumentParser:
             s.add_argument("--" + k.replace("_", "-"), **v)
 
     out, store = {"choices": ["text", "json"], "default": "text"}, {"default": ".plumbline/state"}
-    command("validate", "contract", data={}, tally={"action": "store_true"}, sample={"type": int, "default": 0}, only={"nargs": "*"}, output=out, store={}, dry_run={"action": "store_true"}, explain={"action": "store_true"}, no_preplan={"action": "store_true"})
+    command("validate", "contract", data={}, tally={"action": "store_true"}, sample={"type": int, "default": 0}, only={"nargs": "*"}, columns={"nargs": "*"}, output={"choices": ["text", "json", "table"], "default": "text"}, store={}, dry_run={"action": "store_true"}, explain={"action": "store_true"}, no_preplan={"action": "store_true"})
     command("profile", "data", preset={"default": "scan"}, output={"choices": ["text", "json", "markdown"], "default": "text"}, columns={"nargs": "*"}, sample={"type": int}, draft={"action": "store_true"}, store={})
     command("compare", "before", "after", key={"nargs": "+", "required": True}, output=out)
     command("diff", "contract", store=store, output=out)
@@ -82,11 +82,11 @@ def _run(a: argparse.Namespace) -> int:
 
             show(api.explain(a.data or as_contract(a.contract).datasource, a.contract, tally=a.tally or None))
             return OK
-        r = api.validate(a.data, a.contract, tally=a.tally or None, sample=a.sample, only=a.only, store=_store(a.store), preplan=not a.no_preplan, dry_run=a.dry_run)
+        r = api.validate(a.data, a.contract, tally=a.tally or None, sample=a.sample, only=a.only, columns=a.columns, store=_store(a.store), preplan=not a.no_preplan, dry_run=a.dry_run)
         if a.dry_run:
             show(r)
             return OK
-        print(r.to_json(2) if a.output == "json" else r.to_llm())
+        print({"json": lambda: r.to_json(2), "text": r.to_llm, "table": r.to_text}[a.output]())
         return OK if r.passed else FAILED
     elif a.command == "profile":
         p = api.profile(a.data, "interrogate" if a.draft else a.preset, columns=a.columns, sample=a.sample, store=_store(a.store))

@@ -138,5 +138,23 @@ class ValidationResult:
         lines = [f"- {r.rule_id} ({r.severity}): {r.failed_count}{'' if r.exact else '+'} {r.message}" for r in self.failures]
         return "\n".join([head, *lines])
 
+    def samples_df(self, spark: SparkSession, rule_id: str | None = None) -> DataFrame | None:
+        """The kept failing rows of one rule with its columns, or of all rules as (rule_id, row as JSON); None without any."""
+        if rule_id is not None:
+            rows = next((r.samples for r in self.rules if r.rule_id == rule_id), None)
+            names = list(dict.fromkeys(k for row in rows or [] for k in row))
+            return spark.createDataFrame([tuple(row.get(n) for n in names) for row in rows], names, samplingRatio=1.0) if rows else None
+        rows = [(r.rule_id, json.dumps(row, default=str)) for r in self.rules for row in r.samples or []]
+        return spark.createDataFrame(rows, "rule_id string, row string") if rows else None
+
+    def to_text(self) -> str:
+        """A table of all rules for a terminal, with kept samples under failed ones."""
+        width = max([len(r.rule_id) for r in self.rules], default=0)
+        lines = [self.to_llm().split("\n")[0]]
+        for r in self.rules:
+            lines.append(f"{'ok  ' if r.passed else 'FAIL'} {r.rule_id:<{width}} {r.severity:<8} {r.failed_count}{'' if r.exact else '+'} {'' if r.passed else r.message}".rstrip())
+            lines += [f"       {row}" for row in r.samples or []]
+        return "\n".join(lines)
+
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(r.rule_id, r.name, r.column, r.severity, r.passed, r.failed_count, r.exact, r.failure_mode, r.source, r.message) for r in self.rules], RESULT_SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from typing import Any
 
@@ -41,6 +42,23 @@ def _differs(a: Column, b: Column, x: T.DataType, y: T.DataType) -> Column:
     return ~a.eqNullSafe(b)
 
 
+class Report(dict):
+    """Facts by name, also as text."""
+
+    def to_dict(self) -> dict[str, Any]:
+        return dict(self)
+
+    def to_json(self, indent: int | None = None) -> str:
+        return json.dumps(self, indent=indent, default=str)
+
+    def to_llm(self) -> str:
+        """One line a fact; samples last, a few rows each."""
+        lines = [f"{k}: {v}" for k, v in self.items() if k != "samples" and v not in ({}, [], None)]
+        for name, rows in self.get("samples", {}).items():
+            lines += [f"{name}:", *[f"- {r}" for r in rows]] if rows else []
+        return "\n".join(lines)
+
+
 class Comparison:
     """The parts of a comparison as lazy DataFrames; ``facts`` has one row, the other methods rows of keys."""
 
@@ -95,25 +113,28 @@ class Comparison:
     def facts(self) -> DataFrame:
         """One row of counts. Keys are counted once per side before they meet, so the three counts of keys come from one
         outer join of grouped keys, and the counts of rows from one join."""
-        gb = self.b.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("nb"))
-        ga = self.a.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("na"))
+        # nulls are counted in the same pass as keys
+        nulls_of = lambda side, names: [F.count_if(F.col(f"`{side}.{c}`").isNull()).alias(f"nulls_{side}:{c}") for c in names]
+        counted = [*[f"nulls_before:{c}" for c in self.common], *[f"nulls_after:{c}" for c in [*self.common, *self.added]]]
+        gb = self.b.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("nb"), *nulls_of("before", self.common))
+        ga = self.a.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("na"), *nulls_of("after", [*self.common, *self.added]))
         both = gb.join(ga, self.keys, "full")
         matched = F.col("nb").isNotNull() & F.col("na").isNotNull()
         keys = both.agg(
             F.coalesce(F.sum("nb"), F.lit(0)).alias("before_rows"), F.coalesce(F.sum("na"), F.lit(0)).alias("after_rows"),
             F.count("nb").alias("unique_before"), F.count("na").alias("unique_after"), F.count_if(matched).alias("preserved"), F.count_if(F.col("na") > 1).alias("duplicated_after"),
+            *[F.coalesce(F.sum(f"`{n}`"), F.lit(0)).alias(n) for n in counted],
         )
         found = self.differences()
         anything = F.lit(False)
         for d in found.values():
             anything = anything | d
         rows = self.joined().agg(F.count(F.lit(1)).alias("matched_rows"), F.count_if(anything).alias("changed_rows"), *[F.count_if(d).alias(f"changed:{c}") for c, d in found.items()])
-        nulls = [self.b.agg(*[F.count_if(F.col(f"`before.{c}`").isNull()).alias(f"nulls_before:{c}") for c in self.common], F.lit(1).alias("_")), self.a.agg(*[F.count_if(F.col(f"`after.{c}`").isNull()).alias(f"nulls_after:{c}") for c in [*self.common, *self.added]], F.lit(1).alias("_"))]
         # each side is a single row
-        return keys.withColumn("_", F.lit(1)).join(rows.withColumn("_", F.lit(1)), "_").join(nulls[0], "_").join(nulls[1], "_").drop("_").withColumn("dropped", F.col("unique_before") - F.col("preserved")).withColumn("added", F.col("unique_after") - F.col("preserved"))
+        return keys.withColumn("_", F.lit(1)).join(rows.withColumn("_", F.lit(1)), "_").drop("_").withColumn("dropped", F.col("unique_before") - F.col("preserved")).withColumn("added", F.col("unique_after") - F.col("preserved"))
 
 
-def compare(before: DataFrame, after: DataFrame, key=None, before_key=None, after_key=None, sample_limit: int = 5) -> dict[str, Any]:
+def compare(before: DataFrame, after: DataFrame, key=None, before_key=None, after_key=None, sample_limit: int = 5) -> Report:
     """What changed between two datasets: counts, derived rates, columns, and samples of keys and rows."""
     c = Comparison(before, after, key, before_key, after_key)
     f = c.facts().first().asDict()
@@ -122,7 +143,7 @@ def compare(before: DataFrame, after: DataFrame, key=None, before_key=None, afte
     nulls_after = {n: f.pop(f"nulls_after:{n}") for n in [*c.common, *c.added]}
     modified = [n for n in c.common if changed[n]]
     rate = lambda n, rows: n / rows if rows else 0.0
-    out: dict[str, Any] = dict(f)
+    out = Report(f)
     out["row_delta"] = f["after_rows"] - f["before_rows"]
     out["row_ratio"] = f["after_rows"] / f["before_rows"] if f["before_rows"] else float("inf") if f["after_rows"] else 1.0
     out["unchanged_rows"] = f["matched_rows"] - f["changed_rows"] if c.common else f["preserved"]
@@ -174,9 +195,9 @@ class Relationship:
         return sides[0].join(sides[1], "_").join(keys, "_").drop("_")
 
 
-def profile_relationship(left: DataFrame, right: DataFrame, on=None, left_on=None, right_on=None, sample_limit: int = 5) -> dict[str, Any]:
+def profile_relationship(left: DataFrame, right: DataFrame, on=None, left_on=None, right_on=None, sample_limit: int = 5) -> Report:
     r = Relationship(left, right, on, left_on, right_on)
-    out = r.measures().first().asDict()
+    out = Report(r.measures().first().asDict())
     if sample_limit:
         take = lambda df, by: [x.asDict() for x in df.orderBy(*[col(k) for k in by]).limit(sample_limit).collect()]
         named = r.grouped(r.r).where("n > 1").select(*[F.col(k).alias(n) for k, n in zip(r.keys, r.right_keys, strict=True)], "n")

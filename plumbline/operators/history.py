@@ -71,9 +71,12 @@ class HistoryStore:
         out = out.orderBy(F.desc("run_at"), F.desc("run_id"))
         return out.limit(limit) if limit else out
 
-    def run(self, contract_fp: str, run_id: str | None = None, before: str | None = None) -> dict[str, Any] | None:
-        """A run with its rules: the latest, one by id, or the last before another."""
+    def run(self, contract_fp: str, run_id: str | None = None, before: str | None = None, at: str | datetime | None = None) -> dict[str, Any] | None:
+        """A run with its rules: the latest, one by id, the last before another, or the last up to a time."""
         out = self.runs(contract_fp)
+        if at is not None:
+            moment = datetime.fromisoformat(at) if isinstance(at, str) else at
+            out = out.where(F.col("run_at") <= F.lit(moment if moment.tzinfo else moment.replace(tzinfo=UTC)))
         out = out.where(F.col("run_id") == run_id) if run_id else out.where(F.col("run_id") < before) if before else out
         row = out.limit(1).collect()
         if not row:
@@ -104,7 +107,8 @@ class HistoryStore:
         return (out.where(F.col("rule_id") == rule_id) if rule_id else out).orderBy("created_at")
 
     def delete_old(self, contract_fp: str, keep: int) -> int:
-        """Keep a contract's newest ``keep`` runs; its partitions are rewritten, annotations stay."""
+        """Keep a contract's newest ``keep`` runs; its partitions are rewritten, annotations stay. Runs go before their
+        rules, so a crash between the two leaves rules that no run leads to, and no run without rules."""
         known = [r["run_id"] for r in self.runs(contract_fp).select("run_id").collect()]
         gone = known[keep:]
         if not gone:
@@ -112,10 +116,15 @@ class HistoryStore:
         conf = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
-            for name in ("rule_results", "runs"):
-                rows = self.table(name).where((F.col("contract_fp") == contract_fp) & ~F.col("run_id").isin(gone)).collect()
-                df = self.spark.createDataFrame([tuple(r[c] for c in self.table(name).columns) for r in rows], self.table(name).schema)
-                df.coalesce(1).write.mode("overwrite").partitionBy("contract_fp").parquet(f"{self.root}/{name}")
+            for name in ("runs", "rule_results"):
+                left = self.table(name).where((F.col("contract_fp") == contract_fp) & ~F.col("run_id").isin(gone))
+                # what is read can't be overwritten at once, so it is written beside first
+                beside = f"{self.root}/_{name}-{uuid.uuid4().hex}"
+                left.coalesce(1).write.parquet(beside)
+                kept = self.spark.read.schema(_SCHEMAS[name]).parquet(beside)
+                kept.coalesce(1).write.mode("overwrite").partitionBy("contract_fp").parquet(f"{self.root}/{name}")
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         finally:
             self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", conf)
         return len(gone)
@@ -136,17 +145,59 @@ class HistoryStore:
 
 
 class JdbcHistoryStore(HistoryStore):
-    """The same tables in a database (PostgreSQL, SQL Server), through Spark's JDBC writer; needs the driver on the class path."""
+    """The same tables in a database (PostgreSQL, SQL Server), through Spark's JDBC writer; needs the driver on the class
+    path. A table that isn't there yet is empty."""
+
+    #: Columns that are compared or sorted by; the others are the database's texts without a bound.
+    KEYS = ("run_id", "contract_fp", "rule_id", "profile_id", "name", "severity", "kind", "actor")
 
     def __init__(self, spark: SparkSession, url: str, prefix: str = "plumbline_", **options: str):
         super().__init__(spark, "jdbc")
         self.url, self.prefix, self.options = url, prefix, options
 
     def _append(self, table: str, rows: list[tuple]) -> None:
-        self.spark.createDataFrame(rows, _SCHEMAS[table]).coalesce(1).write.format("jdbc").options(url=self.url, dbtable=self.prefix + table, **self.options).mode("append").save()
+        df = self.spark.createDataFrame(rows, _SCHEMAS[table]).coalesce(1)
+        kinds = ", ".join(f"{c} VARCHAR(250)" for c in df.columns if c in self.KEYS)
+        df.write.format("jdbc").options(url=self.url, dbtable=self.prefix + table, createTableColumnTypes=kinds, **self.options).mode("append").save()
+
+    def _connection(self):
+        jvm = self.spark.sparkContext._jvm
+        settings = jvm.java.util.Properties()
+        for k, v in self.options.items():
+            settings.setProperty(k, v)
+        return jvm.java.sql.DriverManager.getConnection(self.url, settings)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.format("jdbc").options(url=self.url, dbtable=self.prefix + name, **self.options).load()
+        connection = self._connection()
+        try:
+            for spelled in (self.prefix + name, (self.prefix + name).upper()):
+                found = connection.getMetaData().getTables(None, None, spelled, None)
+                if found.next():
+                    break
+            else:
+                return self.spark.createDataFrame([], _SCHEMAS[name])
+        finally:
+            connection.close()
+        df = self.spark.read.format("jdbc").options(url=self.url, dbtable=self.prefix + name, **self.options).load()
+        wanted = self.spark.createDataFrame([], _SCHEMAS[name]).schema
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
 
     def delete_old(self, contract_fp: str, keep: int) -> int:
-        raise NotImplementedError("delete old runs with the database's own statements")
+        """Keep a contract's newest ``keep`` runs, in one transaction; annotations stay."""
+        gone = [r["run_id"] for r in self.runs(contract_fp).select("run_id").collect()][keep:]
+        if not gone:
+            return 0
+        connection = self._connection()
+        try:
+            connection.setAutoCommit(False)
+            for name in ("runs", "rule_results"):
+                statement = connection.prepareStatement(f'DELETE FROM {self.prefix}{name} WHERE "contract_fp" = ? AND "run_id" = ?' if "derby" in self.url or "postgresql" in self.url else f"DELETE FROM {self.prefix}{name} WHERE contract_fp = ? AND run_id = ?")
+                for run_id in gone:
+                    statement.setString(1, contract_fp)
+                    statement.setString(2, run_id)
+                    statement.addBatch()
+                statement.executeBatch()
+            connection.commit()
+        finally:
+            connection.close()
+        return len(gone)

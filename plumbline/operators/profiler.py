@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import re
+import logging
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 from typing import Any
@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from plumbline.functions.literals import FLOATS, NUMBERS, STRINGS, TIMES, col
 from plumbline.functions.patterns import PATTERNS, SHARE
 from plumbline.model import ContractError, RuleSpec
+from plumbline.operators.percentiles import exact_percentiles
 
 #: What each preset looks at. ``metadata`` presets read no rows if footers answer.
 PRESETS: dict[str, dict[str, Any]] = {
@@ -23,7 +24,6 @@ PRESETS: dict[str, dict[str, Any]] = {
     "interrogate": {"metadata": False, "statistics": True, "top": 10, "distinct": 50, "samples": 10, "patterns": True, "percentiles": (25, 50, 75, 99)},
 }
 PRESETS |= {"lite": PRESETS["scout"], "standard": PRESETS["scan"], "deep": PRESETS["interrogate"], "llm": PRESETS["scan"]}
-_IDENTIFIER = re.compile(r"(^|_)(id|key|uuid|guid|pk|code|number|no)$|^id(_|$)", re.I)
 
 
 def normal_type(kind: T.DataType) -> str:
@@ -44,14 +44,13 @@ def countable(kind: T.DataType) -> bool:
     return not isinstance(kind, T.MapType | T.VariantType)
 
 
-def column_aggregates(name: str, kind: T.DataType, percentiles: tuple[int, ...] = (), statistics: bool = True) -> dict[str, Column]:
-    """The aggregates of one column, named by measure, but for the number of distinct values."""
+def column_aggregates(name: str, kind: T.DataType, statistics: bool = True) -> dict[str, Column]:
+    """The aggregates of one column, named by measure, but for the number of distinct values and percentiles."""
     c = col(name)
     out: dict[str, Column] = {"nulls": F.count_if(c.isNull())}
     if statistics and isinstance(kind, NUMBERS):
         x = finite(name, kind)
-        out |= {"min": F.min(x), "max": F.max(x), "mean": F.avg(x.cast("double")), "median": F.percentile(x, F.lit(0.5)), "std": F.stddev_samp(x.cast("double"))}
-        out |= {f"p{p}": F.percentile(x, F.lit(p / 100)) for p in percentiles}
+        out |= {"min": F.min(x), "max": F.max(x), "mean": F.avg(x.cast("double")), "std": F.stddev_samp(x.cast("double"))}
     elif statistics and isinstance(kind, STRINGS):
         out |= {"min_len": F.min(F.length(c)), "max_len": F.max(F.length(c)), "avg_len": F.avg(F.length(c)), "empty": F.count_if(c == "")}
     elif statistics and isinstance(kind, TIMES):
@@ -59,9 +58,17 @@ def column_aggregates(name: str, kind: T.DataType, percentiles: tuple[int, ...]
     return out
 
 
-def profile_aggregates(df: DataFrame, columns: list[str], percentiles: tuple[int, ...] = (), statistics: bool = True) -> DataFrame:
+def percentiles_of(df: DataFrame, columns: list[str], percentiles: tuple[int, ...] = ()) -> dict[str, dict[str, float | None]]:
+    """The median and ``percentiles`` (of 100) of each numeric column, exactly, infinite values and NaN left out."""
+    names = {"median": 0.5} | {f"p{p}": p / 100 for p in percentiles}
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, NUMBERS)]
+    found = exact_percentiles(df, {c: (finite(c, df.schema[c].dataType), list(names.values())) for c in numeric})
+    return {c: dict(zip(names, v, strict=True)) for c, v in found.items()}
+
+
+def profile_aggregates(df: DataFrame, columns: list[str], statistics: bool = True) -> DataFrame:
     """One row with ``rows`` and each column's measures as ``measure__column``; one scan."""
-    exprs = [a.alias(f"{k}__{c}") for c in columns for k, a in column_aggregates(c, df.schema[c].dataType, percentiles, statistics).items()]
+    exprs = [a.alias(f"{k}__{c}") for c in columns for k, a in column_aggregates(c, df.schema[c].dataType, statistics).items()]
     return df.agg(F.count(F.lit(1)).alias("rows"), *exprs)
 
 
@@ -85,9 +92,10 @@ def top_per_column(df: DataFrame, columns: list[str], n: int) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
-def pattern_shares(df: DataFrame, column: str, sample: int = 100) -> DataFrame:
-    """One row: the share of up to ``sample`` non-blank values with each shape."""
-    some = df.select(col(column).cast("string").alias("v")).where("v is not null and trim(v) != ''").limit(sample)
+def pattern_shares(df: DataFrame, column: str, sample: int | None = 100) -> DataFrame:
+    """One row: the share of up to ``sample`` (None: all) non-blank values with each shape."""
+    some = df.select(col(column).cast("string").alias("v")).where("v is not null and trim(v) != ''")
+    some = some if sample is None else some.limit(sample)
     return some.agg(*[F.coalesce(F.count_if(F.col("v").rlike(p)) / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias(n) for n, p in PATTERNS.items()])
 
 
@@ -107,6 +115,7 @@ class ColumnProfile:
     patterns: list[str] = field(default_factory=list)
     semantic_type: str | None = None
     estimated: bool = False
+    few: bool = False
 
     @property
     def null_rate(self) -> float | None:
@@ -142,27 +151,65 @@ class DatasetProfile:
 
     def to_llm(self) -> str:
         show = lambda x: "?" if x is None else f"{x:.2%}"
-        return "\n".join([f"{self.source}: {self.rows} rows, {len(self.columns)} columns", *[f"- {c.name} ({c.dtype}{', ' + c.semantic_type if c.semantic_type else ''}): {show(c.null_rate)} null, {'?' if c.distinct is None else c.distinct} distinct" for c in self.columns]])
+        more = lambda c: "".join([f", {k} {v}" for k, v in c.stats.items() if v is not None], )
+        top = lambda c: "; often " + ", ".join(f"{t['value']} ({t['count']})" for t in c.top_values) if c.top_values else ""
+        looks = lambda c: "; looks like " + ", ".join(c.patterns) if c.patterns else ""
+        return "\n".join([f"{self.source}: {self.rows} rows, {len(self.columns)} columns", *[f"- {c.name} ({c.dtype}{', ' + c.semantic_type if c.semantic_type else ''}): {show(c.null_rate)} null, {'?' if c.distinct is None else c.distinct} distinct{more(c)}{top(c)}{looks(c)}" for c in self.columns]])
 
     def to_markdown(self) -> str:
-        rows = [f"| {c.name} | {c.dtype} | {'' if c.nulls is None else c.nulls} | {'' if c.distinct is None else c.distinct} | {c.semantic_type or ''} |" for c in self.columns]
-        return "\n".join([f"# {self.source}", "", f"{self.rows} rows", "", "| column | type | nulls | distinct | meaning |", "|-|-|-|-|-|", *rows])
+        cell = lambda x: "" if x is None else str(x).replace("|", "\\|")
+        said = lambda c: [c.name, c.dtype, c.nulls, c.distinct, c.semantic_type, ", ".join(f"{k} {v}" for k, v in c.stats.items() if v is not None), ", ".join(f"{t['value']} ({t['count']})" for t in c.top_values), ", ".join(c.patterns)]
+        rows = ["| " + " | ".join(map(cell, said(c))) + " |" for c in self.columns]
+        return "\n".join([f"# {self.source}", "", f"{self.rows} rows", "", "| column | type | nulls | distinct | meaning | measures | frequent values | shapes |", "|-|-|-|-|-|-|-|-|", *rows])
 
 
 def semantic_type(p: ColumnProfile) -> str | None:
-    """What a column is for: identifier, category, measure, timestamp, in this order; booleans are categories."""
-    if p.rows and p.nulls == 0 and p.uniqueness_ratio is not None and p.uniqueness_ratio >= 0.99 and p.dtype in ("int", "string"):
+    """What a column is for: an identifier if nearly all values differ and none is null, whatever the type; a category if
+    it is text of few values; a measure if it is a number of more; a timestamp; booleans are categories."""
+    if p.rows and p.nulls == 0 and (p.uniqueness_ratio or 0) >= 0.99:
         return "identifier"
-    if p.dtype == "bool" or p.values is not None and p.dtype in ("string", "int"):
+    if p.dtype == "bool" or p.few and p.dtype == "string":
         return "category"
     if p.dtype in ("int", "float"):
-        return "measure"
-    return "timestamp" if p.dtype in ("date", "datetime", "time") else None
+        return None if p.few else "measure"
+    return "timestamp" if p.dtype in ("date", "datetime") else None
 
 
-def profile(df: DataFrame, preset: str = "scan", source: str = "data", columns: list[str] | None = None, sample: int | None = None, percentiles: tuple[int, ...] | None = None, footer=None, seed: int = 7) -> DatasetProfile:
-    """Profile a dataset. Jobs don't grow with the columns: one for all aggregates, one for distinct counts, one for
-    frequent values, one for first values. With ``sample``, about as many rows are drawn and rates are estimates."""
+def keep_invariants(p: DatasetProfile) -> list[str]:
+    """No column has more nulls or distinct values than rows. An estimate that says so is cut to the rows; where the column's
+    count is exact, nothing is changed and a warning given."""
+    said = []
+    for c in p.columns:
+        for what in ("nulls", "distinct"):
+            n = getattr(c, what)
+            if p.rows and n is not None and n > p.rows:
+                if c.estimated:
+                    setattr(c, what, p.rows)
+                else:
+                    said.append(f"{c.name}: {n} {what} of {'about ' if p.sampled else ''}{p.rows} rows")
+    return said
+
+
+def drawn(df: DataFrame, rows: int | None = None, share: float | None = None, how: str = "rows", seed: int = 7) -> tuple[DataFrame, bool]:
+    """A sample of ``df`` and whether it is one. ``rows``: exactly so many, drawn alike from all, whose sort keeps so many rows
+    a task; or ``share`` of the rows (``how="rows"``: each by chance), of the file splits (``blocks``: whole splits by chance,
+    so that the others aren't kept; correlated rows stand together), or the first ones (``head``)."""
+    if how == "head":
+        return (df, False) if rows is None else (df.limit(rows), True)
+    if how == "blocks":
+        part = F.xxhash64(F.spark_partition_id(), F.lit(seed))
+        some = df.where(F.pmod(part, F.lit(1 << 20)) < int((1 << 20) * (1.0 if share is None else share)))
+        return (some, True) if some.limit(1).count() else (df, False)  # of few splits none may be drawn
+    if share is not None:
+        return df.sample(share, seed), True
+    if rows is None:
+        return df, False
+    return df.orderBy(F.rand(seed)).limit(rows), True
+
+
+def profile(df: DataFrame, preset: str = "scan", source: str = "data", columns: list[str] | None = None, sample: int | None = None, percentiles: tuple[int, ...] | None = None, footer=None, seed: int = 7, sample_by: str = "rows", sample_share: float | None = None) -> DatasetProfile:
+    """Profile a dataset. Jobs don't grow with the columns: one for all aggregates, a few for percentiles, one for distinct
+    counts, one for frequent values, one for first values. With a sample (see ``drawn``), rates are estimates."""
     if preset not in PRESETS:
         raise ContractError(f"no preset is named {preset!r}; known: {', '.join(PRESETS)}")
     how = PRESETS[preset]
@@ -175,15 +222,16 @@ def profile(df: DataFrame, preset: str = "scan", source: str = "data", columns:
             nulls = [g[c][0] if c in g else None for g in footer.groups]
             made.append(ColumnProfile(c, normal_type(kinds[c]), kinds[c].simpleString(), footer.rows, None if None in nulls else sum(nulls)))
         return DatasetProfile(source, preset, footer.rows, made)
-    sampled = False
-    if sample:
-        total = df.count()
-        if total > sample:
-            df, sampled = df.sample(sample / total, seed), True
+    df, sampled = drawn(df, sample, sample_share, sample_by, seed)
     row: dict[str, Any] = {}
     for at in range(0, max(1, len(names)), 12):
-        row |= profile_aggregates(df, names[at : at + 12], shares, how["statistics"]).first().asDict()
+        row |= profile_aggregates(df, names[at : at + 12], how["statistics"]).first().asDict()
+    sampled = sampled and not (sample and row["rows"] < sample)  # fewer rows than asked for are all of them
     out = [ColumnProfile(c, normal_type(kinds[c]), kinds[c].simpleString(), row["rows"], row[f"nulls__{c}"], stats={k.rpartition("__" + c)[0]: v for k, v in row.items() if k.endswith(f"__{c}") and not k.startswith("nulls__")}, estimated=sampled) for c in names]
+    if how["statistics"]:
+        for at in range(0, len(names), 12):
+            for c, found in percentiles_of(df, names[at : at + 12], shares).items():
+                next(p for p in out if p.name == c).stats |= found
     usable = [c for c in names if countable(kinds[c])]
     if usable and not how["metadata"]:
         found = {r["column"]: r["distinct"] for r in distinct_counts(df, usable).collect()}
@@ -211,8 +259,56 @@ def profile(df: DataFrame, preset: str = "scan", source: str = "data", columns:
         for r in seen.collect():
             next(p for p in texts if p.name == r["_column"]).patterns = [n for n in PATTERNS if r[n] >= SHARE]
     for p in out:
+        p.few = bool(p.distinct) and p.distinct <= how["distinct"]
         p.semantic_type = None if how["metadata"] else semantic_type(p)
-    return DatasetProfile(source, preset, row["rows"], out, sampled)
+    made = DatasetProfile(source, preset, row["rows"], out, sampled)
+    for warning in keep_invariants(made):
+        logging.getLogger(__name__).warning(warning)
+    return made
+
+
+def classified(df: DataFrame, columns: list[str], low: int = 20, medium: int = 10_000) -> dict[str, tuple[int, str]]:
+    """About how many different values each column has, by sketches in one scan, and by that how to profile it: ``low``
+    columns by counting values, ``medium`` ones on a sample, ``high`` ones by aggregates alone."""
+    if not columns:
+        return {}
+    row = df.agg(*[F.approx_count_distinct(col(c), 0.02).alias(c) for c in columns]).first()
+    return {c: (row[c], "low" if row[c] < low else "medium" if row[c] <= medium else "high") for c in columns}
+
+
+def strategic_profile(df: DataFrame, source: str = "data", top: int = 5, share: float = 0.05, seed: int = 7) -> DatasetProfile:
+    """A profile in four jobs at most, for wide tables: nulls exactly and distinct values by sketches in one scan, values of
+    columns with few exactly, measures and frequent values of the others on about ``share`` of the file splits."""
+    kinds = {c: df.schema[c].dataType for c in df.columns}
+    found = classified(df, [c for c in df.columns if countable(kinds[c])])
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(col(c).isNull()).alias(f"nulls__{c}") for c in df.columns]).first()
+    some, sampled = drawn(df, share=share, how="blocks", seed=seed)
+    measured = profile_aggregates(some, df.columns).first().asDict()
+    out = []
+    for c, kind in kinds.items():
+        stats = {k.rpartition("__" + c)[0]: v for k, v in measured.items() if k.endswith(f"__{c}") and not k.startswith("nulls__")}
+        out.append(ColumnProfile(c, normal_type(kind), kind.simpleString(), row["rows"], row[f"nulls__{c}"], found.get(c, (None,))[0], stats, estimated=True))
+    by_name = {p.name: p for p in out}
+    simple = {c: how for c, (_, how) in found.items() if by_name[c].dtype not in ("unknown", "binary", "interval")}
+    few, some_of = ([c for c, how in simple.items() if how == wanted] for wanted in ("low", "medium"))
+    if few:
+        for r in value_counts(df, few).orderBy("column", F.desc("n"), "value").collect():
+            p = by_name[r["column"]]
+            p.values = [*(p.values or []), r["value"]]
+            if len(p.top_values) < top:
+                p.top_values.append({"value": r["value"], "count": r["n"]})
+    if some_of:
+        for r in top_per_column(some, some_of, top).collect():
+            by_name[r["column"]].top_values.append({"value": r["value"], "count": r["n"]})
+    for p in out:
+        if p.values is not None:
+            p.distinct, p.constant = len(p.values), p.values[0] if len(p.values) == 1 else None
+        p.few = bool(p.distinct) and p.distinct <= 20
+    made = DatasetProfile(source, "strategic", row["rows"], out, sampled)
+    keep_invariants(made)
+    for p in out:
+        p.semantic_type = semantic_type(p)
+    return made
 
 
 @dataclass
@@ -222,35 +318,52 @@ class Suggestion:
     reason: str
 
 
-def draft(p: DatasetProfile, min_confidence: float = 0.0) -> list[Suggestion]:
-    """Rules that the profiled data keep: type, nulls, uniqueness, values, ranges, lengths, shapes, freshness, rows."""
-    spec = lambda name, c, **more: RuleSpec(name, ({"column": c} if c else {}) | more)
+def _spec(name: str, column: str | None, **params: Any) -> RuleSpec:
+    return RuleSpec(name, ({"column": column} if column else {}) | params)
+
+
+def _types(c: ColumnProfile) -> str:
     exact = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64", "string": "string", "boolean": "bool", "date": "date", "timestamp": "datetime", "timestamp_ntz": "datetime"}
-    out = [Suggestion(spec("min_rows", None, threshold=int(p.rows * 0.8)), 0.6, "80 % of the present rows")] if p.rows else []
+    return exact.get(c.native_type, c.dtype)
+
+
+def draft(p: DatasetProfile, min_confidence: float = 0.5) -> list[Suggestion]:
+    """Rules that the profiled data keep, or nearly: nulls, uniqueness, type, values, range of each column, and rows."""
+    out = []
     for c in p.columns:
-        if c.native_type in exact:
-            out.append(Suggestion(spec("dtype", c.name, type=exact[c.native_type]), 1.0, "the present type"))
-        if c.nulls == 0 and c.rows:
-            out.append(Suggestion(spec("not_null", c.name), 1.0, "no nulls"))
-        if c.uniqueness_ratio == 1.0 and c.nulls == 0 and c.rows > 1:
-            out.append(Suggestion(spec("unique", c.name), 0.9 if _IDENTIFIER.search(c.name) else 0.8, "all values differ"))
-        elif c.values and c.dtype == "string":
-            out.append(Suggestion(spec("allowed_values", c.name, values=[*c.values, *([None] if c.nulls else [])]), 0.8, f"{len(c.values)} values"))
+        rate, unique, kind = c.null_rate, c.uniqueness_ratio, _types(c)
+        if rate is not None and rate < 0.01:
+            out.append(Suggestion(_spec("not_null", c.name), 0.8 if rate else 1.0, f"{rate:.1%} nulls" if rate else "no nulls"))
+        if unique is not None and (unique == 1.0 and c.distinct > 1 or 0.99 < unique < 1.0):
+            out.append(Suggestion(_spec("unique", c.name), 1.0 if unique == 1.0 else 0.7, f"{unique:.1%} of the values differ"))
+        if kind != "unknown":
+            out.append(Suggestion(_spec("dtype", c.name, type=kind), 1.0, "the present type"))
+        spelled = {"string": str, "int": int, "float": float, "bool": lambda v: v == "true"}.get(c.dtype)
+        if c.few and c.values and spelled:  # values are kept as text
+            out.append(Suggestion(_spec("allowed_values", c.name, values=[*map(spelled, c.values), *([None] if c.nulls else [])]), 0.9, f"{len(c.values)} values"))
         low, high = c.stats.get("min"), c.stats.get("max")
-        if c.dtype in ("int", "float") and low is not None and c.nulls == 0 and c.semantic_type == "measure":
-            out.append(Suggestion(spec("range", c.name, min=float(low) if c.dtype == "float" else int(low), max=float(high) if c.dtype == "float" else int(high)), 0.7, "the present bounds"))
-        for shape in c.patterns[:1]:
-            if c.nulls == 0:
-                out.append(Suggestion(spec("regex", c.name, pattern=PATTERNS[shape]), 0.9, f"values look like {shape}"))
-        if c.dtype == "datetime" and high is not None:
-            out.append(Suggestion(spec("freshness", c.name, max_age="7d"), 0.6, "a moment; the age is a guess"))
+        if c.dtype in ("int", "float") and low is not None and high is not None:
+            as_number = float if c.dtype == "float" else int
+            out.append(Suggestion(_spec("range", c.name, min=as_number(low), max=as_number(high)), 0.7, "the present bounds"))
+    if p.rows:
+        out.append(Suggestion(_spec("min_rows", None, threshold=max(1, int(p.rows * 0.8))), 0.6, "80 % of the present rows"))
     return [s for s in out if s.confidence >= min_confidence]
 
 
-def draft_yaml(p: DatasetProfile, name: str | None = None, min_confidence: float = 0.0) -> str:
+def draft_yaml(p: DatasetProfile, name: str | None = None, min_confidence: float = 0.5) -> str:
+    """A contract file of the drafted rules, with 90 % of the rows, the shapes of text that the profile found, and an age of
+    the newest moment, which is a guess."""
     import yaml
 
-    return yaml.safe_dump({"name": name or "draft", "datasource": p.source, "rules": [{"name": s.rule.name, "params": s.rule.params} for s in draft(p, min_confidence)]}, sort_keys=False, allow_unicode=True)
+    rules = [s.rule for s in draft(p, min_confidence) if s.rule.name != "min_rows"]
+    for c in p.columns:
+        rules += [_spec("regex", c.name, pattern=PATTERNS[shape]) for shape in c.patterns[:1] if c.nulls == 0]
+        if c.dtype == "datetime" and c.stats.get("max") is not None:
+            rules.append(RuleSpec("freshness", {"column": c.name, "max_age": "7d"}, severity="warning"))
+    if int(p.rows * 0.9):
+        rules.insert(0, _spec("min_rows", None, threshold=int(p.rows * 0.9)))
+    listed = [{"name": r.name, "params": r.params} | ({} if r.severity == "blocking" else {"severity": r.severity}) for r in rules]
+    return yaml.safe_dump({"name": name or "draft", "datasource": p.source, "rules": listed}, sort_keys=False, allow_unicode=True)
 
 
 def compare_profiles(a: DatasetProfile, b: DatasetProfile) -> dict[str, Any]:

@@ -40,6 +40,8 @@ class Rule:
 
     rule_name = ""
     mode = "custom_check_failed"
+    #: For rules of one's own: whether ``validate`` looks at columns that ``required_columns`` doesn't name.
+    needs_all_columns = False
     uses: tuple[str, ...] = ("column",)
 
     def __init__(self, spec: RuleSpec):

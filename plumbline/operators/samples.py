@@ -77,6 +77,22 @@ def top_values(df: DataFrame, column: str, mask=None, n: int = 10) -> DataFrame:
     return rows.groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(n)
 
 
+def positions(df: DataFrame, mask, n: int = 5) -> list[Any]:
+    """Where the first rows of a mask stand in their files: row numbers, with the file's name if there are several; empty if
+    the data aren't read from files that tell."""
+    try:
+        placed = df.where(mask).select("_metadata.file_name", "_metadata.row_index")
+    except Exception:
+        return []
+    rows = placed.orderBy("file_name", "row_index").limit(n).collect()
+    several = len(df.inputFiles()) > 1
+    return [f"{r[0]}:{r[1]}" if several else r[1] for r in rows]
+
+
+#: Positions are looked for where there are so many violations at most.
+MOST_FOR_POSITIONS = 1000
+
+
 def explain_failure(df: DataFrame, rule: Rule, n: int = 5) -> dict[str, Any]:
     """Details of a failed rule: frequent values, counts of the kinds of violation, first mismatches."""
     schema = df.schema
@@ -90,14 +106,17 @@ def explain_failure(df: DataFrame, rule: Rule, n: int = 5) -> dict[str, Any]:
     if isinstance(rule, ConditionalRange | ConditionalNotNull):
         holds, null = rule.when.to_column(schema), col(rule.column).isNull()
         more = {"below_min": F.count_if(holds & rule.parts(schema)[0]), "above_max": F.count_if(holds & rule.parts(schema)[1])} if isinstance(rule, Range) else {}
-        return df.agg(F.count_if(holds).alias("rows_matching_condition"), F.count_if(holds & null).alias("null_count"), *[c.alias(k) for k, c in more.items()]).first().asDict()
+        out = df.agg(F.count_if(holds).alias("rows_matching_condition"), F.count_if(holds & null).alias("null_count"), *[c.alias(k) for k, c in more.items()]).first().asDict()
+        bad = sum(v for k, v in out.items() if k != "rows_matching_condition")
+        return out | ({"sample_positions": found} if 0 < bad <= MOST_FOR_POSITIONS and (found := positions(df, rule.mask(schema), n)) else {})
     if isinstance(rule, Range):
         below, above = rule.parts(schema)
         c = col(rule.column)
         return df.agg(F.min(c).alias("actual_min"), F.max(c).alias("actual_max"), F.count_if(below).alias("below_min"), F.count_if(above).alias("above_max"), F.count_if(c.isNull()).alias("null_count")).first().asDict()
     if isinstance(rule, NotNull):
         r = df.agg(F.count_if(rule.mask(schema)).alias("null_count"), F.count(F.lit(1)).alias("rows")).first()
-        return {"null_count": r["null_count"], "null_rate": round(r["null_count"] / r["rows"], 4) if r["rows"] else 0.0}
+        out = {"null_count": r["null_count"], "null_rate": round(r["null_count"] / r["rows"], 4) if r["rows"] else 0.0, "total_rows": r["rows"]}
+        return out | ({"sample_positions": found} if 0 < r["null_count"] <= MOST_FOR_POSITIONS and (found := positions(df, rule.mask(schema), n)) else {})
     if isinstance(rule, Compare):
         left, right = (col(rule.params[s]) for s in ("left", "right"))
         r = df.agg(F.count_if(rule.mask(schema)).alias("failed"), F.count_if(left.isNull()).alias("left_null_count"), F.count_if(right.isNull()).alias("right_null_count"), F.count(F.lit(1)).alias("rows")).first()

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.model import RuleResult
-from plumbline.operators.rules import BrokenRule, CustomSql, Dtype, Rule, Unique, duplicates
+from plumbline.operators.rules import BrokenRule, CustomSql, Dtype, MaxRows, MinRows, Rule, Unique, duplicates
 from plumbline.plans.footer import Footer, prove
 from plumbline.plans.sqlguard import violations
 
@@ -29,6 +29,31 @@ def fused_any(df: DataFrame, masks: dict[str, Column]) -> DataFrame:
     return df.agg(*[F.coalesce(F.bool_or(m).cast("long"), F.lit(0).cast("long")).alias(name) for name, m in masks.items()])
 
 
+def early_any(df: DataFrame, masks: dict[str, Column], rows: int = 64, probes: int = 2) -> tuple[dict[str, int], int | None]:
+    """For every mask, 1 if any row violates, else 0; and the rows of ``df`` if they were counted on the way.
+
+    A probe takes the first ``rows`` rows that violate any mask still open, from one file split, then four times as
+    many, and so on, so it ends where violations are. Each closes a mask at least. A probe that finds fewer rows has
+    seen all there are. What is open after ``probes`` probes goes through one shared scan.
+    """
+    out: dict[str, int] = {}
+    for _ in range(probes):
+        left = {name: m for name, m in masks.items() if name not in out}
+        if not left:
+            return out, None
+        named = {f"m{i}": name for i, name in enumerate(left)}
+        flags = [F.coalesce(left[name], F.lit(False)).alias(n) for n, name in named.items()]
+        found = df.select(*flags).where(reduce(Column.__or__, [F.col(n) for n in named])).take(rows)
+        out |= {name: 1 for n, name in named.items() if any(r[n] for r in found)}
+        if len(found) < rows:
+            return out | {name: 0 for name in left if name not in out}, None
+    left = {name: m for name, m in masks.items() if name not in out}
+    if not left:
+        return out, None
+    row = df.agg(*[F.coalesce(F.bool_or(m).cast("long"), F.lit(0)).alias(f"m{i}") for i, m in enumerate(left.values())], F.count(F.lit(1)).alias("rows")).first()
+    return out | {name: row[f"m{i}"] for i, name in enumerate(left)}, row["rows"]
+
+
 def unique_counts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """One row per rule: (rule, n). Each column is counted in an aggregation of its own; one job for all."""
     each = [duplicates(df, c).select(F.lit(rule).alias("rule"), "n") for rule, c in columns.items()]
@@ -50,7 +75,7 @@ class Plan:
         out = []
         for r in self.rules:
             how = "metadata" if r.rule_id in proofs or isinstance(r, Dtype) else "own job" if isinstance(r, CustomSql) else "uniqueness job" if isinstance(r, Unique) else "config error" if self._broken(r) else "shared scan"
-            out.append({"rule_id": r.rule_id, "tier": how, "columns": r.required_columns(), "tally": self.tally[r.rule_id]})
+            out.append({"rule_id": r.rule_id, "tier": how, "columns": "*" if getattr(r, "needs_all_columns", False) else r.required_columns(), "tally": self.tally[r.rule_id]})
         return out
 
     def _broken(self, r: Rule) -> tuple[str, dict[str, Any]] | None:
@@ -62,7 +87,8 @@ class Plan:
         return (problem, {}) if problem else None
 
     def _proofs(self) -> dict[str, bool]:
-        open_rules = [r for r in self.rules if not self.tally[r.rule_id] and not isinstance(r, BrokenRule) and not self._broken(r)]
+        # the rows of a footer are exact, so they answer row counts whether or not violations are counted
+        open_rules = [r for r in self.rules if (not self.tally[r.rule_id] or isinstance(r, MinRows | MaxRows)) and not isinstance(r, BrokenRule) and not self._broken(r)]
         if not self.footer or not open_rules:
             return {}
         footer = self.footer()
@@ -77,8 +103,11 @@ class Plan:
         stuck: list[tuple[Rule, str, dict]] = []
         proofs = self._proofs()
         for r in self.rules:
-            if r.rule_id in proofs:
-                found[r.rule_id] = self._result(r, 0 if proofs[r.rule_id] else 1, proofs[r.rule_id], "metadata")
+            if r.rule_id in proofs and isinstance(r, MinRows | MaxRows):
+                n = 0 if proofs[r.rule_id] else abs(r.threshold - self.rows)
+                found[r.rule_id] = self._result(r, n, proofs[r.rule_id], "metadata", True)
+            elif r.rule_id in proofs:
+                found[r.rule_id] = self._result(r, 0 if proofs[r.rule_id] else 1, proofs[r.rule_id], "metadata", proofs[r.rule_id])
             elif isinstance(r, BrokenRule):
                 stuck.append((r, f"the rule couldn't be built: {r.error}", {}))
             elif broken := self._broken(r):
@@ -96,11 +125,16 @@ class Plan:
             else:
                 whole.append(r)
         named = {r.rule_id: f"r{i}" for i, r in enumerate(self.rules)}
+        values: dict[str, int] = {}
+        must_count = masks or aggregates or any(isinstance(r, Dtype) for r in whole) or stuck and self.rows is None
+        if eager and not must_count:  # nothing needs all rows: stop early
+            told, rows = early_any(self.df, eager)
+            values = {named[i]: n for i, n in told.items()}
+            self.rows = self.rows if rows is None else rows
         exprs = [F.count_if(m).alias(named[i]) for i, m in masks.items()]
-        exprs += [F.coalesce(F.bool_or(m).cast("long"), F.lit(0).cast("long")).alias(named[i]) for i, m in eager.items()]
+        exprs += [F.coalesce(F.bool_or(m).cast("long"), F.lit(0).cast("long")).alias(named[i]) for i, m in eager.items() if named[i] not in values]
         exprs += [a.cast("long").alias(named[i]) for i, a in aggregates.items()]
-        values: dict[str, int] = {}
-        if exprs or stuck or any(isinstance(r, Dtype) for r in whole):
+        if exprs or stuck and self.rows is None or any(isinstance(r, Dtype) for r in whole):
             for at in range(0, max(1, len(exprs)), BATCH):
                 row = self.df.agg(*exprs[at : at + BATCH], F.count(F.lit(1)).alias("rows")).first()
                 values |= row.asDict()
@@ -138,7 +172,5 @@ class Plan:
             return self._result(r, rows, False, "driver", True, "config_error", f"the rule failed: {str(e).splitlines()[0][:300]}")
 
     def _result(self, r: Rule, n: int, passed: bool, source: str, exact: bool = True, mode: str | None = None, message: str | None = None, details: dict | None = None) -> RuleResult:
-        if source == "metadata" and not passed and not isinstance(r, Dtype):
-            exact = False
         said = message if message and not passed else "passed" if passed else r.message(n)
         return RuleResult(r.rule_id, r.spec.name, r.params.get("column") if isinstance(r.params.get("column"), str) else None, r.severity, passed, int(n), exact, None if passed else mode or r.mode, source, said, details or {}, r.context)

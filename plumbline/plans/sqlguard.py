@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,19 +41,23 @@ def checked(spark: SparkSession, sql: str, view: str) -> str:
 
 def violations(df: DataFrame, sql: str) -> int:
     """Rows that the query gives over ``df`` (named by ``{table}`` or ``data``); of a lone COUNT(*), its value."""
-    spark = df.sparkSession
-    view = "data"
-    text = checked(spark, sql.replace("{table}", view), view)
-    out = _with_view(df, text, view)
+    text = checked(df.sparkSession, sql.replace("{table}", "data"), "data")
+    out = result(df, text)
     if _LONE_COUNT.match(text) and not _REGROUPS.search(text):
         return int(out.first()[0])
     return out.count()
 
 
-def _with_view(df: DataFrame, text: str, view: str) -> DataFrame:
-    """The query's result; the view is bound while it is analysed and gone afterwards."""
+def result(df: DataFrame, sql: str) -> DataFrame:
+    """What the query gives. ``df`` is a view with a name of its own while the query is analysed; ``data`` is a common
+    table expression over it, so a view ``data`` of the session stays as it is, and validations may run side by side."""
+    spark, view = df.sparkSession, f"plumbline_{uuid.uuid4().hex}"
+    text = checked(spark, sql.replace("{table}", "data"), "data")
+    own = f"data AS (SELECT * FROM {view})"
+    more = re.match(r"with\b", text, re.I)
+    text = f"WITH {own}, {text[more.end() :].lstrip()}" if more else f"WITH {own} {text}"
     df.createOrReplaceTempView(view)
     try:
-        return df.sparkSession.sql(text)
+        return spark.sql(text)
     finally:
-        df.sparkSession.catalog.dropTempView(view)
+        spark.catalog.dropTempView(view)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 from typing import Any
 from urllib.parse import unquote, urlparse
@@ -62,6 +64,11 @@ class SourceSpec:
 
 def store_settings(scheme: str, options: dict[str, Any]) -> dict[str, str]:
     """Hadoop settings of S3-like stores and of Azure from storage options, or from the usual environment variables."""
+    if scheme not in ("s3", "s3a"):
+        said = options.get("connection_string") or os.environ.get("AZURE_STORAGE_CONNECTION_STRING") or ""
+        parts = dict(p.split("=", 1) for p in said.split(";") if "=" in p)
+        known = {"AccountName": "account_name", "AccountKey": "account_key", "SharedAccessSignature": "sas_token"}
+        options = {known[k]: v for k, v in parts.items() if k in known} | options
     get = lambda *names: next((str(options[n]) for n in names if options.get(n)), None) or next((os.environ[n.upper()] for n in names if os.environ.get(n.upper())), None)
     out: dict[str, str | None] = {}
     if scheme in ("s3", "s3a"):
@@ -96,30 +103,66 @@ def jdbc_options(spec: SourceSpec) -> dict[str, str]:
 
 
 def read_spec(spark: SparkSession, spec: SourceSpec) -> DataFrame:
-    """The lazy DataFrame of a source. JDBC reads are parallel if ``partitionColumn``, ``lowerBound``, ``upperBound`` and
-    ``numPartitions`` are among the options."""
+    """The lazy DataFrame of a source. JDBC reads are parallel if ``partitionColumn`` is among the options; bounds that
+    aren't given are looked up. ``csv_mode`` of text tables: ``auto``, ``strict`` (a malformed line is an error) or
+    ``parquet`` (written once to the shared folder as Parquet, for several passes)."""
     if spec.format == "jdbc":
-        return spark.read.format("jdbc").options(**jdbc_options(spec), dbtable=spec.table).load()
+        options = jdbc_options(spec)
+        if (column := options.get("partitionColumn")) and "lowerBound" not in options:
+            plain = {k: v for k, v in options.items() if k not in ("partitionColumn", "numPartitions")}
+            low, high = spark.read.format("jdbc").options(**plain, query=f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM {spec.table}").load().first()
+            options |= {"lowerBound": str(low), "upperBound": str(high)} if low is not None else {}
+            options.setdefault("numPartitions", str(spark.sparkContext.defaultParallelism))
+            options = plain if low is None else options
+        return spark.read.format("jdbc").options(**options, dbtable=spec.table).load()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for k, v in store_settings(spec.scheme, spec.options).items():
-        conf.set(k, v)
+        # each bucket has credentials of its own, so two stores don't overwrite each other's
+        conf.set(k.replace("fs.s3a.", f"fs.s3a.bucket.{urlparse(spec.path).netloc}.", 1), v)
     path = re.sub(r"^s3://", "s3a://", spec.path)
     if spec.scheme in ("http", "https"):
-        from pyspark import SparkFiles
-
-        spark.sparkContext.addFile(path)
-        path = "file://" + SparkFiles.get(os.path.basename(urlparse(path).path))
+        path = fetched(spark, path)
     if spec.format == "parquet":
         return spark.read.parquet(path)
     if spec.format == "csv":
         defaults = {"header": "true", "inferSchema": "true", "nullValue": "", "emptyValue": ""}
-        return spark.read.options(**defaults | {k: str(v) for k, v in spec.options.items() if k in ("sep", "header", "quote", "escape", "encoding", "inferSchema")}).csv(path)
+        mode = str(spec.options.get("csv_mode", "auto"))
+        if mode not in ("auto", "strict", "parquet"):
+            raise ContractError(f"{mode!r} isn't a csv_mode")
+        more = {k: str(v) for k, v in spec.options.items() if k in ("sep", "header", "quote", "escape", "encoding", "inferSchema")}
+        df = spark.read.options(**defaults | more | ({"mode": "FAILFAST"} if mode == "strict" else {})).csv(path)
+        return staged(df, f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}") if mode == "parquet" else df
     if spec.format == "json":
         lines = os.path.splitext(path)[1].lower() != ".json" or str(spec.options.get("lines", "")).lower() == "true"
         return spark.read.option("multiLine", str(not lines).lower()).json(path)
     raise ContractError(f"the format of {spec.uri} isn't known; give format in the storage options")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where the driver can leave files that executors read: ``spark.checkpoint.dir``, or a folder of this machine where
+    all runs on it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root:
+        return f"{root.rstrip('/')}/plumbline-sources"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ContractError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
+
+
+def fetched(spark: SparkSession, url: str) -> str:
+    """A file from the web, copied once to the shared folder by the driver."""
+    import urllib.request
+
+    name = os.path.basename(urlparse(url).path) or "file"
+    target = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+    with tempfile.TemporaryDirectory() as folder:
+        local = os.path.join(folder, name)
+        urllib.request.urlretrieve(url, local)
+        to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), to)
+    return target
+
+
 def staged(df: DataFrame, folder: str) -> DataFrame:
     """A text source written once as Parquet and read back, for several passes over it."""
     df.write.mode("overwrite").parquet(folder)

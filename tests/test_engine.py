@@ -316,3 +316,150 @@ def test_streaming_and_command_line(spark, users, tmp_path, capsys):
     assert main(["validate", str(tmp_path / "c.yml"), "--tally"]) == 1 and "COL:age:range" in capsys.readouterr().out
     assert main(["validate", str(tmp_path / "gone.yml")]) == 2 and main(["nonsense"]) == 2
     assert main(["profile", str(tmp_path / "u.parquet"), "--draft"]) == 0 and main(["init", str(tmp_path)]) == 0
+
+
+def test_row_counts_by_footers_are_exact(spark, tmp_path):
+    path = str(tmp_path / "n.parquet")
+    spark.range(10).write.parquet(path)
+    rules = [pl.rules.min_rows(100), pl.rules.max_rows(4)]
+    for tally in (None, True):
+        by_path, by_frame = (pl.validate(x, rules=rules, tally=tally, spark=spark).rules for x in (path, spark.read.parquet(path)))
+        assert [(r.failed_count, r.exact, r.passed) for r in by_path] == [(r.failed_count, r.exact, r.passed) for r in by_frame] == [(90, True, False), (6, True, False)]
+    assert [r.source for r in by_path] == ["metadata"] * 2
+
+
+def test_custom_sql_leaves_views_alone(spark, users):
+    spark.range(7).createOrReplaceTempView("data")
+    try:
+        for sql, n in (("SELECT * FROM data WHERE age > 150", 4), ("WITH data2 AS (SELECT * FROM {table}) SELECT * FROM data2 WHERE age > 150", 4), ("SELECT COUNT(*) FROM {table} WHERE age > 150", 4)):
+            assert pl.validate(users, rules=[pl.rules.custom_sql_check(sql)]).rules[0].failed_count == n
+        assert spark.table("data").count() == 7 and not [t for t in spark.catalog.listTables() if t.name.startswith("plumbline_")]
+    finally:
+        spark.catalog.dropTempView("data")
+
+
+def test_fail_fast_stops_early(spark):
+    from plumbline.plans.fusion import early_any
+
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 100_000, 1, 50).mapInArrow(count, "id long")
+    masks = {"low": F.col("id") >= 0, "odd": F.col("id") % 2 == 1}
+    assert early_any(df, masks) == ({"low": 1, "odd": 1}, None) and read.value < 20_000
+    found, _ = early_any(df, masks | {"last": F.col("id") == 99_999, "never": F.col("id") < 0, "null": F.lit(None).cast("boolean")})
+    assert found == {"low": 1, "odd": 1, "last": 1, "never": 0, "null": 0}
+    rare = early_any(df, {"last": F.col("id") == 99_999, "never": F.col("id") < 0})
+    assert rare[0] == {"last": 1, "never": 0} and early_any(df.limit(0), masks)[0] == {"low": 0, "odd": 0}
+
+
+def test_exact_percentiles_in_brackets(spark, monkeypatch):
+    import numpy as np
+
+    from plumbline.operators import percentiles
+
+    df = spark.range(6000).select((F.rand(1) * 1e6).alias("a"), (F.col("id") % 2).alias("b"), F.when(F.col("id") % 7 == 0, None).otherwise((F.rand(2) * 30).cast("int")).alias("c"), F.when(F.col("id") < 5990, 5.0).otherwise(F.col("id").cast("double")).alias("d"), F.lit(None).cast("double").alias("e")).cache()
+    shares = [0.0, 0.25, 0.5, 0.99, 1.0]
+    for at_once in (200_000, 40):
+        monkeypatch.setattr(percentiles, "SORTED_AT_ONCE", at_once)
+        got = percentiles.exact_percentiles(df, {x: (F.col(x), shares) for x in "abcde"})
+        for x in "abcd":
+            values = [float(r[0]) for r in df.select(x).dropna().collect()]
+            assert np.allclose(got[x], np.quantile(values, shares), rtol=1e-12)
+        assert got["e"] == [None] * 5
+    assert percentiles.exact_percentiles(df, {}) == {}
+
+
+@pytest.mark.parametrize(("name", "yes", "no"), [("email", "a.b+c@d-e.org", "a@b"), ("uuid", "123e4567-e89b-12d3-a456-426614174000", "123e4567"), ("phone_us", "+1 (555) 123-4567", "555-12-4567"), ("phone_intl", "+4930123456", "+0930123456"), ("url", "https://a.b/c?d", "ftp://a.b"), ("ipv4", "999.1.2.3", "1.2.3"), ("ipv6", "1:2:3:4:5:6:7:abcd", "::1"), ("iso_date", "2024-01-31", "2024-1-31"), ("iso_datetime", "2024-01-31T01:02:03Z", "2024-01-31"), ("hex_color", "#aBc123", "#abc"), ("credit_card", "4111 1111-11111111", "411"), ("ssn", "123-45-6789", "123456789"), ("zip_us", "12345-6789", "1234"), ("slug", "a-b2", "a--b"), ("json", "{1:\n2}", "x{}")])
+def test_shapes(spark, name, yes, no):
+    from plumbline.operators.profiler import pattern_shares
+
+    row = pattern_shares(spark.createDataFrame([(yes,), (no,), (" ",), (None,)], "v string"), "v").first()
+    assert row[name] == 0.5
+
+
+def test_results_as_text_and_frames(spark, users):
+    r = pl.validate(users, rules=[pl.rules.range("age", max=150), pl.rules.not_null("email")], tally=True, sample=3, details=True)
+    assert r.samples_df(spark, "COL:age:range").count() == 3 and r.samples_df(spark).count() == 6 and "FAIL COL:age:range" in r.to_text()
+    c = pl.compare(users.limit(0), users.select("user_id", "age"), "user_id")
+    assert json.loads(c.to_json())["after_rows"] == 103 and "after_rows: 103" in c.to_llm() and c.to_dict()["added"] == 100
+    assert "left_rows: 103" in pl.profile_relationship(users, users, "user_id").to_llm()
+    with pytest.warns(DeprecationWarning):
+        assert pl.scout(users, "scout").rows == 103
+    with pytest.raises(ContractError):
+        pl.rules.range("age")
+
+
+def test_positions_of_violations(spark, tmp_path):
+    path = str(tmp_path / "p.parquet")
+    spark.createDataFrame([(i, None if i % 3 == 0 else i) for i in range(20)], "i long, v long").coalesce(1).write.parquet(path)
+    details = pl.validate(path, rules=[pl.rules.not_null("v")], tally=True, details=True, preplan=False, spark=spark).rules[0].details
+    assert details["sample_positions"] == [0, 3, 6, 9, 12]
+    in_memory = pl.validate(spark.createDataFrame([(None,)], "v long"), rules=[pl.rules.not_null("v")], tally=True, details=True).rules[0].details
+    assert "sample_positions" not in in_memory and in_memory["null_count"] == 1
+
+
+def test_own_rules_prove_by_footers(spark, tmp_path):
+    from plumbline.operators.rules import REGISTRY
+
+    class Above(pl.Rule):
+        def mask(self, schema):
+            return F.col(self.column) < self.params["least"]
+
+        def to_preplan_predicates(self):
+            return [(self.column, ">=", self.params["least"]), (self.column, "not_null", None)]
+
+    pl.register_rule("above")(Above)
+    try:
+        path = str(tmp_path / "a.parquet")
+        spark.range(5, 50).coalesce(1).write.parquet(path)
+        found = [pl.validate(path, rules=[pl.rule("above", column="id", least=n)], spark=spark).rules[0] for n in (5, 6)]
+        assert [(r.passed, r.source, r.failed_count) for r in found] == [(True, "metadata", 0), (False, "metadata", 1)]
+    finally:
+        REGISTRY.pop("above")
+
+
+def test_samples_and_strategies_of_profiles(spark, users):
+    from plumbline.operators.profiler import ColumnProfile, DatasetProfile, classified, drawn, keep_invariants
+
+    df = spark.range(0, 10_000, 1, 20)
+    assert drawn(df, 300)[0].distinct().count() == 300 and drawn(df, 300, how="head")[0].count() == 300
+    assert 400 < drawn(df, share=0.05)[0].count() < 600 and drawn(df, share=0.3, how="blocks")[0].count() % 500 == 0
+    assert drawn(df)[1] is False and pl.profile(users, sample=500).sampled is False
+    assert {c: how for c, (_, how) in classified(users, ["status", "user_id"]).items()} == {"status": "low", "user_id": "medium"}
+    p = pl.profile(users, "strategic")
+    assert (p["status"].semantic_type, p["email"].nulls, p["status"].distinct) == ("category", 5, 4) and p["status"].top_values[0]["count"] > 20
+    odd = DatasetProfile("x", "scan", 10, [ColumnProfile("a", "int", "int", 10, 0, 12, estimated=True), ColumnProfile("b", "int", "int", 10, 11, 3)])
+    assert keep_invariants(odd) == ["b: 11 nulls of 10 rows"] and odd["a"].distinct == 10
+
+
+def test_sources_of_text_and_stores(spark, tmp_path):
+    from plumbline.sources.datasets import store_settings
+
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n2,y\n")
+    for mode in ("auto", "strict", "parquet"):
+        assert pl.load(spark, str(tmp_path / "t.csv"), {"csv_mode": mode}).selectExpr("sum(a)").first()[0] == 3
+    with pytest.raises(ContractError):
+        pl.load(spark, str(tmp_path / "t.csv"), {"csv_mode": "no"})
+    assert store_settings("abfss", {"connection_string": "AccountName=me;AccountKey=k=="}) == {"fs.azure.account.key.me.dfs.core.windows.net": "k=="}
+    pl.load(spark, pl.SourceSpec.from_uri(str(tmp_path / "t.csv")))
+
+
+def test_history_in_a_database(spark, users, tmp_path):
+    from plumbline.operators.history import JdbcHistoryStore
+
+    store = JdbcHistoryStore(spark, f"jdbc:derby:{tmp_path}/db;create=true", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    contract = {"name": "c", "rules": [{"name": "range", "params": {"column": "age", "max": 150}}]}
+    assert not pl.has_runs(contract, store)
+    for part in (users, users.where("age < 170"), users):
+        pl.validate(part, contract, tally=True, store=store)
+    runs = pl.get_history(contract, store)
+    assert len(runs) == 3 and pl.get_run(contract, store, at=runs[1]["run_at"])["rules"][0]["failed_count"] == 1
+    assert [x["rule_id"] for x in pl.diff(contract, store)["regression"]] == ["COL:age:range"]
+    assert store.delete_old(runs[0]["contract_fp"], 2) == 1 and len(pl.get_history(contract, store)) == 2
+    pl.annotate(contract, store, "seen")
+    assert pl.get_annotations(contract, store)[0]["note"] == "seen"
