@@ -146,7 +146,7 @@ class HistoryStore:
 
 class JdbcHistoryStore(HistoryStore):
     """The same tables in a database (PostgreSQL, SQL Server), through Spark's JDBC writer; needs the driver on the class
-    path. A table that isn't there yet is empty."""
+    path. A table that isn't there yet is empty. Keys without a value are empty texts there."""
 
     #: Columns that are compared or sorted by; the others are the database's texts without a bound.
     KEYS = ("run_id", "contract_fp", "rule_id", "profile_id", "name", "severity", "kind", "actor")
@@ -157,6 +157,7 @@ class JdbcHistoryStore(HistoryStore):
 
     def _append(self, table: str, rows: list[tuple]) -> None:
         df = self.spark.createDataFrame(rows, _SCHEMAS[table]).coalesce(1)
+        df = df.fillna("", [c for c in df.columns if c in self.KEYS])
         kinds = ", ".join(f"{c} VARCHAR(250)" for c in df.columns if c in self.KEYS)
         df.write.format("jdbc").options(url=self.url, dbtable=self.prefix + table, createTableColumnTypes=kinds, **self.options).mode("append").save()
 
@@ -180,7 +181,8 @@ class JdbcHistoryStore(HistoryStore):
             connection.close()
         df = self.spark.read.format("jdbc").options(url=self.url, dbtable=self.prefix + name, **self.options).load()
         wanted = self.spark.createDataFrame([], _SCHEMAS[name]).schema
-        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+        value = lambda f: F.nullif(F.col(f.name), F.lit("")) if f.name in self.KEYS else F.col(f.name)
+        return df.select(*[value(f).cast(f.dataType).alias(f.name) for f in wanted])
 
     def delete_old(self, contract_fp: str, keep: int) -> int:
         """Keep a contract's newest ``keep`` runs, in one transaction; annotations stay."""
