@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, slices
+from plumbline.llm.common import materialise, slices, tidy
 
 #: Bytes of a text to word bytes: A-Z to lower case, what isn't of a word to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -58,7 +58,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=["docs", "tags", "starts", "terms", "list_starts", "steps"],
                 )
 
-    return materialise(narrow.mapInArrow(run, _INDEX.format(kind=kind)), "positional-index")
+    return materialise(narrow.mapInArrow(tidy(run), _INDEX.format(kind=kind)), "positional-index")
 
 
 class Segment:
@@ -155,7 +155,16 @@ def _search(block: list[tuple[str, list[bytes]]], window: int):
         length = min(window, len(own))
         for i in range(len(own) - length + 1):
             by_length.setdefault(length, {}).setdefault(tuple(own[i : i + length]), []).append(item)
-    sets = [(n, np.array(list(found), np.int64), list(found.values())) for n, found in by_length.items()]
+    # windows by the term that is likely to be their rarest: the one that the items use least, or the longest
+    spelled, used = list(terms), np.bincount(np.concatenate([np.array(own) for _, own in coded]) if coded else np.zeros(0, int), minlength=len(terms))
+    rank = np.empty(len(terms), np.int64)
+    rank[np.lexsort((np.array([-len(t) for t in spelled], int), used))] = np.arange(len(terms))
+    sets = []
+    for n, found in by_length.items():
+        windows, items = np.array(list(found), np.int64), list(found.values())
+        key = windows[np.arange(len(windows)), rank[windows].argmin(axis=1)]
+        order = np.argsort(key, kind="stable")
+        sets.append((n, windows[order], [items[i] for i in order], key[order]))
 
     def run(batches: Iterator[pa.RecordBatch], plan: tuple) -> Iterator[pa.RecordBatch]:
         terms, sets = plan
@@ -163,8 +172,15 @@ def _search(block: list[tuple[str, list[bytes]]], window: int):
             for i in range(batch.num_rows):
                 seg = Segment(batch.slice(i, 1).to_pylist()[0], terms)
                 cover, pairs = np.zeros(seg.size + 1, np.int64), set()
-                for length, windows, items in sets:
-                    which, at = seg.phrases(windows)
+                present = np.flatnonzero(seg.counts)
+                for length, windows, items, key in sets:
+                    # only windows whose likely rarest term is here
+                    low, high = np.searchsorted(key, present), np.searchsorted(key, present, side="right")
+                    some = np.repeat(low - np.append(0, np.cumsum(high - low)[:-1]), high - low) + np.arange((high - low).sum())
+                    if not len(some):
+                        continue
+                    which, at = seg.phrases(windows[some])
+                    which = some[which]
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + length, -1)
                     doc = np.searchsorted(seg.starts, at, side="right") - 1
@@ -232,7 +248,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 def _pass(spark, index: DataFrame, block: list, window: int, fields: str) -> DataFrame:
     run, plan = _search(block, window)
     shared = spark.sparkContext.broadcast(plan)
-    return index.mapInArrow(lambda batches: run(batches, shared.value), fields)
+    return index.mapInArrow(tidy(lambda batches: run(batches, shared.value)), fields)
 
 
 def proximity(index: DataFrame, phrase: str, slop: int) -> DataFrame:
@@ -248,7 +264,7 @@ def proximity(index: DataFrame, phrase: str, slop: int) -> DataFrame:
                 doc = np.searchsorted(seg.starts, at, side="right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array([seg.docs[d] for d in doc], batch.schema.field("docs").type.value_type), pa.array(at - seg.starts[doc], pa.int64())], names=["doc", "position"])
 
-    return index.mapInArrow(run, f"doc {kind}, position long")
+    return index.mapInArrow(tidy(run), f"doc {kind}, position long")
 
 
 def n_hit() -> Column:
