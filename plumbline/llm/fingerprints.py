@@ -52,17 +52,21 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _cell(id_col: str, bounds: list, cells: int) -> Column:
-    """The cell of an id: its range between ``bounds``, found by bisection in the expression, cut in equal widths; grows with the id."""
+    """The cell of a row: the range of its id between ``bounds``, found by bisection in the expression, cut in equal widths;
+    grows with the id. A range of one id alone, and rows without id, are cut by ``tie`` instead, the least in the last cell."""
+    by_tie = F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * cells))).cast("long")
 
     def within(low: int, high: int) -> Column:
         if high - low == 1:
             a, b = bounds[low], bounds[high]
+            if b - a == 1:
+                return F.lit((low + 1) * cells - 1).cast("long") - by_tie
             inner = F.floor((F.col(id_col).cast("double") - float(a)) * (cells / max(1.0, float(b) - float(a))))
             return F.lit(low * cells).cast("long") + F.greatest(F.lit(0), F.least(F.lit(cells - 1), inner))
         middle = (low + high) // 2
         return F.when(F.col(id_col) < bounds[middle], within(low, middle)).otherwise(within(middle, high))
 
-    return F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(within(0, len(bounds) - 1))
+    return F.when(F.col(id_col).isNull(), F.lit(-1).cast("long") - by_tie).otherwise(within(0, len(bounds) - 1))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, bins: str, measured, ranges: int = 128, rows_a_cell: int = 2048, most_cells: int = 1 << 20) -> DataFrame:
@@ -71,16 +75,19 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bins: str, measured,
 
     Ids are cut into cells in id order: quantile ranges, each in equal widths. A window orders each cell; a copy
     of the next cell's first row, a ghost, ends it. So there is one shuffle of the rows by cell and no global sort.
-    The ghosts' ids, at most ``most_cells``, are broadcast.
+    The ghosts' ids, at most ``most_cells``, are broadcast; they are ordered by one task. An id that fills several quantiles
+    is a range of its own, whose rows, like those without id, are parted by their texts' hash; only rows that are alike in id and
+    text can't be parted.
     """
     shares = ", ".join(str(i / ranges) for i in range(1, ranges))
     low, high, rows, middle = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1)), F.expr(f"approx_percentile(`{id_col}`, array({shares}), 10000)")).first()
-    bounds = sorted({*(middle or []), *([] if low is None else [low, high + 1])}) or [0, 1]
+    hot = {a for a, b in zip(middle or [], (middle or [])[1:], strict=False) if a == b}
+    bounds = sorted({*(middle or []), *(h + 1 for h in hot), *([] if low is None else [low, high + 1])}) or [0, 1]
     cells = max(1, min(most_cells // len(bounds), -(-rows // (rows_a_cell * (len(bounds) - 1)))))
     if len(bounds) > 2 and rows < rows_a_cell * (len(bounds) - 1):
         step = max(1, rows_a_cell * (len(bounds) - 1) // max(rows, 1))
         bounds = [*bounds[:-1:step], bounds[-1]]
-    placed = docs.withColumn("cell", _cell(id_col, bounds, cells)).withColumn("ghost", F.lit(0)).withColumn("tie", F.xxhash64(text_col))
+    placed = docs.withColumn("tie", F.xxhash64(text_col)).withColumn("cell", _cell(id_col, bounds, cells)).withColumn("ghost", F.lit(0))
     heads = placed.groupBy("cell").agg(F.max(id_col).alias("head"))
     down = Window.orderBy(F.desc("cell"))
     before = F.coalesce(F.lag("cell").over(down), F.min("cell").over(Window.partitionBy()))
@@ -95,7 +102,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, bins: str, measured,
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, text, fingerprint bins, next document's text and bins, edited text and its bins.
+    """Id (an integer), text, fingerprint bins, next document's text and bins, edited text and its bins.
 
     The edited text has its last floor(n / 2) of n code points replaced by as many first ones (or all) of the next
     document in descending id order. Null text is empty: its bins are null, it is alike only to other empty ones.
