@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import scratch_path, slices
+from plumbline.llm.common import scratch_path, slices, tidy
 from plumbline.llm.memo import memo
 
 BLOCK, RESTART, BITS, PROBES = 1 << 18, 16, 10, 7
@@ -219,8 +219,8 @@ def write_tables(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
     """Encode every text, append ``end_id`` and write shards in ascending id order; returns their manifest
     (path, entries, ids, first and last id; one entry per shard, in order).
 
-    One range shuffle by id brings the rows in order; a hash of the text parts rows that share an id, so a
-    repeated id never fills one shard. A task streams its sorted rows into blocks and keeps only the block
+    One range shuffle by id brings the rows in order; a hash of the text parts rows that share an id, and the place in the
+    input those that are equal, so a repeated id or row never fills one shard. A task streams its sorted rows into blocks and keeps only the block
     index and the filter's hashes. Files get their name when whole, and only files of tasks that ended well are in
     the manifest, so a lost executor leaves nothing that is read. Null texts are empty (only the end id), null ids
     sort first, rows that share an id are ordered by text; an empty table gives no shards; ids must be integers.
@@ -246,9 +246,10 @@ def write_tables(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
             yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "entries": writer.entries, "ids": writer.ids, "first": first, "last": last}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("entries", pa.int64()), ("ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
 
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    order = [F.asc_nulls_first("id"), F.xxhash64("text"), F.col("text")]
-    sorted_ = narrow.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-    shards = sorted_.mapInArrow(run, "part int, path string, entries long, ids long, first long, last long").collect()
+    order = [F.asc_nulls_first("id"), F.col("hash"), F.col("text")]
+    placed = narrow.withColumn("hash", F.xxhash64("text")).withColumn("place", F.spark_partition_id())
+    sorted_ = placed.repartitionByRange(*order[:2], F.col("place")).sortWithinPartitions(*order).select("id", "text")
+    shards = sorted_.mapInArrow(tidy(run, True), "part int, path string, entries long, ids long, first long, last long").collect()
     return [r.asDict() for r in sorted(shards, key=lambda r: r["part"])]
 
 
@@ -278,7 +279,7 @@ def read_tables(spark: SparkSession, manifest: list[dict]) -> DataFrame:
                     yield made(rows)
 
     listed = spark.createDataFrame(shards, "path string, base long")
-    return listed.repartition(max(1, len(shards))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return listed.repartition(max(1, len(shards))).mapInArrow(tidy(run, True), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def lookup(manifest: list[dict], doc_id: int | None) -> list[bytes]:
