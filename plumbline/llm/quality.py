@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import slices, tidy
 from plumbline.llm.near_dedup import _P, word_hashes
-from plumbline.llm.labelled import best_cut, held_out, sigmoid, training_labels
+from plumbline.llm.labelled import held_out, sigmoid, training_labels
 
 FEATURES = ("words", "chars", "word_length", "distinct", "distinct_law", "repeats", "top_word", "top_three", "bars", "exclaimed", "symbols", "digits", "upper", "capitalised", "stops", "commas", "lines", "same_lines", "short", "long", "marked", "brackets", "alike_pairs", "letters", "line_length")
 _IS = {name: np.isin(np.arange(256), list(which.encode())) for name, which in {"symbols": "#$%&*@^~=+<>{}[]\\_", "digits": "0123456789", "space": " \t\n\r\x0b\x0c"}.items()}
@@ -70,8 +70,8 @@ class BradleyTerry:
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, ridge: float = 1e-3, level: float = 0.7, quantile: float | None = None, seed: int = 5) -> BradleyTerry:
     """Learn scores from ``pairs`` preference pairs, one document of label 1 over one of label 0, by the logistic
-    loss of feature differences (Newton steps with a ridge). The cut is a quantile of the sample's scores:
-    ``quantile``, or that with the best balanced accuracy on the sample. Without both labels all scores are ``level``."""
+    loss of feature differences (Newton steps with a ridge). The cut is a quantile of the sample's scores: ``quantile``, or
+    the share of label 0 there. Without both labels all scores are ``level``."""
     middle, spread = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
     model = BradleyTerry(middle, spread, np.zeros(2 * len(middle)), 0.0, 0.0, 1.0, level)
     ones, zeros = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -92,7 +92,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, ridge: float = 1e-3,
             break
     model.weights = w
     s = model.latent(x)
-    model.quantile = float((s < best_cut(s, y)).mean()) if quantile is None else quantile
+    model.quantile = float((y == 0).mean()) if quantile is None else quantile
     order = np.sort(s)
     at = model.quantile * len(s)
     low, high = order[max(0, min(len(s) - 1, int(np.ceil(at)) - 1))], order[min(len(s) - 1, int(np.ceil(at)))]
@@ -108,7 +108,7 @@ def _measured(docs: DataFrame, extra: str, kept: list[str]) -> DataFrame:
                 x = pa.array([v.tobytes() for v in features(rows.column("text").to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), x], names=[*kept, "x"])
 
-    return docs.mapInArrow(run, f"{extra}, x binary")
+    return docs.mapInArrow(tidy(run), f"{extra}, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, fold: int = 2, most: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> BradleyTerry:
@@ -134,7 +134,7 @@ def score_quality(docs: DataFrame, model: BradleyTerry, id_col: str = "doc_id",
                 x = features(rows.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(model.score(x), pa.float64())], names=[*kept, score_col])
 
-    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(run, f"{spelled}, `{score_col}` double")
+    return docs.select(*[f"`{c}`" for c in kept]).mapInArrow(tidy(run), f"{spelled}, `{score_col}` double")
 
 
 __all__ = ["BradleyTerry", "features", "fit", "held_out", "score_quality", "train"]
