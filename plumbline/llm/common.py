@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -107,6 +110,29 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def trim() -> None:
+    """Give memory that this Python worker has freed back to the system, which else stays with it while it idles."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable, keeps_words: bool = False) -> Callable:
+    """The map ``run`` over Arrow batches for a worker that other maps use before and after it: the word memo of former ones
+    goes unless this one ``keeps_words``, and freed memory is given back at the end."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = sys.modules.get("plumbline.llm.memo")
+        if memo and not keeps_words:
+            memo.forget()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return held
+
+
 def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into runs of rows whose texts hold about ``most_bytes`` each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

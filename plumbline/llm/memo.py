@@ -215,6 +215,11 @@ class WordMemo:
 _held: dict[str, WordMemo] = {}
 
 
+def forget() -> None:
+    """Drop this worker's memo."""
+    _held.clear()
+
+
 def memo(path: str) -> WordMemo:
     """The memo of this Python worker for a tokenizer file."""
     if path not in _held:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, slices
+from plumbline.llm.common import materialise, slices, tidy
 from plumbline.llm.memo import memo
 
 _FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, is_left int"
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, win
         return run
 
     done = []
-    table = materialise(narrow.mapInArrow(first, spec), "packing", ["is_left"]).select(*_NAMES)
+    table = materialise(narrow.mapInArrow(tidy(first, True), spec), "packing", ["is_left"]).select(*_NAMES)
     level = 0
     while True:
         done.append(table.where("is_left = 0"))

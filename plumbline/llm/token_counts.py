@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import slices, tidy
 from plumbline.llm.memo import memo
 
 
@@ -114,4 +114,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chunks int, n_widened int")
+    return narrow.mapInArrow(tidy(run, True), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chunks int, n_widened int")

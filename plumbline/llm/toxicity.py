@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices
+from plumbline.llm.common import slices, tidy
 from plumbline.llm.labelled import best_cut, sigmoid, training_labels
 
 #: Terms that name groups of people; within a row, any may stand for any other.
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(words, pa.string())], names=["y", "words"])
 
     joined = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(sample), "id")
-    rows = joined.select("y", "text").mapInArrow(run, "y int, words string").collect()
+    rows = joined.select("y", "text").mapInArrow(tidy(run), "y int, words string").collect()
     return fit(sorted((r["words"], r["y"]) for r in rows), terms)
 
 
@@ -185,4 +185,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text"
                 latents = np.array([model.latent(t) for t in rows.column(text_col).to_pylist()], np.float64)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(model.score(latents), pa.float64())], names=[*kept, score_col])
 
-    return narrow.mapInArrow(run, f"{narrow.schema.toDDL()}, `{score_col}` double")
+    return narrow.mapInArrow(tidy(run), f"{narrow.schema.toDDL()}, `{score_col}` double")
