@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.automaton import SuffixAutomaton
-from plumbline.llm.common import Scratch, free_names, slices
+from plumbline.llm.common import Scratch, free_names, slices, tidy
 from plumbline.llm.near_dedup import _mix, _P, _powers_to, _signed, joined_hashes, word_starts
 
 
@@ -71,7 +71,7 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, window: int, gram: int, span
     return text[at[new]], grams[at[new]], at[new], whole[new], np.diff(np.append(new, len(at)))
 
 
-def repeated_windows(texts: DataFrame, scratch: Scratch, window: int = 35, gram: int = 16, shard_words: int = 100_000, most_pieces: int = 2_000) -> DataFrame:
+def repeated_windows(texts: DataFrame, scratch: Scratch, window: int = 35, gram: int = 16, shard_words: int = 100_000, most_pieces: int = 2_000, most_sent: int = 1 << 16, often: int = 16) -> DataFrame:
     """``key`` and ``windows``, pairs of a window's start and the bits of the windows from there on, of the texts (``key``,
     ``text``) that hold windows which also start elsewhere.
 
@@ -86,6 +86,9 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, window: int = 35, gram:
        document of the corpus; this one meets just those pieces of documents that share an anchor with it.
     4. Anchors with more than ``most_pieces`` different pieces, the edges of very common passages, would make an automaton
        without bound. Their windows are counted by hash, partial counts first, which splits them over all tasks.
+    5. The decisions go back to the texts. The ``most_sent`` pieces that stand most often, ``often`` times at least, are sent to
+       all tasks (24 bytes each) and found again in the texts, so that no row arises for each of their places; the
+       others are joined.
     """
     gram = min(gram, window)
     gram = max(gram, window - 61)  # the windows of an anchor are bits of a long
@@ -100,7 +103,7 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, window: int = 35, gram:
                 lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(_signed(hash_)), pa.array((place - bounds[text]).astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(kept)), *lists], names=["key", "hashes", "positions"])
 
-    found = texts.mapInArrow(find, "key binary, hashes array<long>, positions array<int>")
+    found = texts.mapInArrow(tidy(find), "key binary, hashes array<long>, positions array<int>")
     own = found.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("hashes").alias("hashes"), F.first("positions").alias("positions"))
     own = scratch.keep(own.withColumn("node", F.monotonically_increasing_id()), "anchors")
     each = own.select("node", "copies", F.explode(F.arrays_zip("hashes", "positions")).alias("x")).select("node", "copies", F.col("x.hashes").alias("hash"), F.col("x.positions").alias("position"))
@@ -110,25 +113,30 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, window: int = 35, gram:
     chosen = scratch.keep(wanted.join(texts.dropDuplicates(["key"]), "key"), "candidates")
     scratch.drop("anchors", "live")
 
+    def pieces_of(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """(text, anchor's hash, piece's hash, first window, windows) of the pieces of live anchors."""
+        hashes, bounds = joined_hashes(part.column("text").cast(pa.binary()).to_pylist())
+        spans = Spans(hashes)
+        text, hash_, place, first, n = anchors(hashes, bounds, window, gram, spans)
+        lists = part.column("positions")
+        alive = lists.flatten().to_numpy() + bounds[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())]
+        live = np.isin(place, alive)
+        text, first, n = text[live], first[live], n[live]
+        return text, _signed(hash_[live]), _signed(spans(first, first + n - 1 + window)), (first - bounds[text]).astype(np.int32), n.astype(np.int32)
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                hashes, bounds = joined_hashes(part.column("text").cast(pa.binary()).to_pylist())
-                spans = Spans(hashes)
-                text, hash_, place, first, n = anchors(hashes, bounds, window, gram, spans)
-                lists = part.column("positions")
-                alive = lists.flatten().to_numpy() + bounds[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())]
-                live = np.isin(place, alive)
-                text, hash_, first, n = text[live], hash_[live], first[live], n[live]
-                cols = [_signed(hash_), _signed(spans(first, first + n - 1 + window)), part.column("node").to_numpy()[text], (first - bounds[text]).astype(np.int32), n.astype(np.int32), part.column("copies").to_numpy()[text]]
+                text, hash_, piece, first, n = pieces_of(part)
+                cols = [hash_, piece, part.column("node").to_numpy()[text], first, n, part.column("copies").to_numpy()[text]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["hash", "piece", "node", "first", "n", "copies"])
 
-    standing = scratch.keep(chosen.mapInArrow(pieces, "hash long, piece long, node long, first int, n int, copies long"), "pieces")
+    standing = scratch.keep(chosen.mapInArrow(tidy(pieces), "hash long, piece long, node long, first int, n int, copies long"), "pieces")
     different = scratch.keep(standing.groupBy("hash", "piece").agg(F.sum("copies").alias("copies"), F.min(F.struct("node", "first", "n")).alias("at")), "different")
     anchor = different.groupBy("hash").agg(F.count(F.lit(1)).alias("pieces"), F.sum("copies").alias("all")).where("all > 1")
     asked = scratch.keep(different.join(anchor.select("hash", "pieces"), "hash").select("hash", "piece", "copies", "pieces", "at.*"), "asked")
     scratch.drop("different")
-    alone = asked.where("pieces = 1").select("hash", "piece", F.expr("shiftleft(1L, n) - 1").alias("bits"))
+    alone = asked.where("pieces = 1").select("hash", "piece", "copies", F.expr("shiftleft(1L, n) - 1").alias("bits"))
     at = F.collect_list(F.struct("hash", "piece", "copies", "pieces", "first", "n")).alias("at")
     cuttable = scratch.keep(asked.where("pieces > 1").groupBy("node").agg(at).join(chosen.select("node", "text"), "node").select("text", "at"), "cuttable")
 
@@ -150,7 +158,7 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, window: int = 35, gram:
             coded = [automaton.add(words.encode().split(), copies) for _, _, copies, words in held]
             automaton.count()
             bits = [sum(1 << i for i in automaton.repeats(c, window)) for c in coded]
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array(bits, pa.int64())], names=["hash", "piece", "bits"])
+            return pa.RecordBatch.from_arrays([*(pa.array([h[i] for h in held], pa.int64()) for i in range(3)), pa.array(bits, pa.int64())], names=["hash", "piece", "copies", "bits"])
 
         held: list[tuple[int, int, int, str]] = []
         size = 0
@@ -179,15 +187,42 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, window: int = 35, gram:
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["hash", "piece", "window", "bit", "copies"])
 
-    dealt = cuttable.mapInArrow(cut, "hash long, piece long, copies long, words string").repartition("hash").sortWithinPartitions("hash")
-    told = dealt.mapInArrow(matched, "hash long, piece long, bits long")
-    common = cuttable.mapInArrow(windows, "hash long, piece long, window long, bit long, copies long")
+    dealt = cuttable.mapInArrow(tidy(cut), "hash long, piece long, copies long, words string").repartition("hash").sortWithinPartitions("hash")
+    told = dealt.mapInArrow(tidy(matched), "hash long, piece long, copies long, bits long")
+    common = cuttable.mapInArrow(tidy(windows), "hash long, piece long, window long, bit long, copies long")
     twice = common.groupBy("hash", "window").agg(F.sum("copies").alias("all")).where("all > 1").select("hash", "window")
-    counted = common.join(twice, ["hash", "window"]).groupBy("hash", "piece").agg(F.bit_or("bit").alias("bits"))
+    counted = common.join(twice, ["hash", "window"]).groupBy("hash", "piece").agg(F.first("copies").alias("copies"), F.bit_or("bit").alias("bits"))
     decided = scratch.keep(alone.unionByName(told).unionByName(counted).where("bits != 0"), "decided")
     scratch.drop("asked", "cuttable")
-    back = standing.select("hash", "piece", "node", "first").join(decided, ["hash", "piece"]).groupBy("node").agg(F.collect_list(F.struct("first", "bits")).alias("windows"))
-    out = scratch.keep(back.join(chosen.select("node", "key"), "node").select("key", "windows"), "windows")
+    top = decided.where(F.col("copies") >= often).orderBy(F.desc("copies")).limit(most_sent + 1).collect()
+    least = top[-1]["copies"] if len(top) > most_sent else often - 1  # pieces that stand as often as the one too many are joined
+    top = np.array([(r["hash"], r["piece"], r["bits"]) for r in top if r["copies"] > least], np.int64).reshape(-1, 3)
+    sent = scratch.spark.sparkContext.broadcast(top[np.lexsort((top[:, 1], top[:, 0]))])
+
+    def found_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of the pieces that were sent, of each text that holds some."""
+        known = sent.value
+        kind = pa.struct([("first", pa.int32()), ("bits", pa.int64())])
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                text, hash_, piece, first, _ = pieces_of(part)
+                at, end = known[:, 0].searchsorted(hash_), known[:, 0].searchsorted(hash_, side="right")
+                bits = np.zeros(len(text), np.int64)
+                while (at < end).any():  # an anchor may have several pieces
+                    open_ = np.flatnonzero(at < end)
+                    same = known[at[open_], 1] == piece[open_]
+                    bits[open_[same]] = known[at[open_[same]], 2]
+                    at[open_] += 1
+                held = np.flatnonzero(bits)
+                kept, n = np.unique(text[held], return_counts=True)
+                pairs = pa.StructArray.from_arrays([pa.array(first[held]), pa.array(bits[held])], fields=list(kind))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pairs)
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(kept)), lists], names=["key", "windows"])
+
+    joined = standing.select("hash", "piece", "node", "first").join(decided.where(F.col("copies") <= least), ["hash", "piece"])
+    back = joined.groupBy("node").agg(F.collect_list(F.struct("first", "bits")).alias("windows")).join(chosen.select("node", "key"), "node").select("key", "windows")
+    again = chosen.mapInArrow(tidy(found_again), "key binary, windows array<struct<first: int, bits: bigint>>")
+    out = scratch.keep(back.unionByName(again).groupBy("key").agg(F.flatten(F.collect_list("windows")).alias("windows")), "windows")
     scratch.drop("candidates", "pieces", "decided")
     return out
 
@@ -243,7 +278,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", re
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed)], names=[*kept, words_col, removed_col])
 
     ddl = docs.select(*[f"`{c}`" for c in kept]).schema.toDDL()
-    return joined.mapInArrow(run, f"{ddl}, `{words_col}` long, `{removed_col}` long")
+    return joined.mapInArrow(tidy(run), f"{ddl}, `{words_col}` long, `{removed_col}` long")
 
 
 def plain_words():
