@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, release, slices
+from plumbline.llm.common import materialise, release, slices, tidy
 from plumbline.llm.components import components
 
 #: Bytes of a text to word bytes: A-Z to lower case, white space (tab to carriage return, space) to a space.
@@ -100,20 +100,23 @@ def shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
-def half_bands(sets: list[np.ndarray], halves: int, rows: int, seed: int = 11) -> np.ndarray:
+def half_bands(sets: list[np.ndarray], halves: int, rows: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Two collections of ``halves`` half-bands for each set that isn't empty: a key mixes ``rows`` minhashes.
-    Column i < halves is half-band i of the first collection, the others are of the second."""
+    Column i < halves is half-band i of the first collection, the others are of the second. And the set's sketch, a byte of
+    each minhash."""
     rng = np.random.default_rng(seed)
     odd = rng.integers(0, 1 << 63, (2 * halves, rows), np.uint64) * np.uint64(2) + np.uint64(1)
     flat = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), 2 * halves), np.uint64)
+    out, sketch = np.empty((len(sets), 2 * halves), np.uint64), np.empty((len(sets), 2 * halves * rows), np.uint8)
     for i in range(2 * halves):
         key = np.full(len(sets), np.uint64(i + 1))
         for r in range(rows):
-            key = _mix(key * _P + np.minimum.reduceat(flat * odd[i, r], starts))
+            least = np.minimum.reduceat(flat * odd[i, r], starts)
+            sketch[:, i * rows + r] = _mix(least) >> np.uint64(56)
+            key = _mix(key * _P + least)
         out[:, i] = key
-    return out
+    return out, sketch
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -121,11 +124,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _measures(sets: list[np.ndarray], halves: int, rows: int) -> tuple[list[pa.Array], list[str]]:
-    """Shingles, a 128-bit digest and the half-band keys of each set."""
+    """Shingles, a 128-bit digest, the half-band keys and the sketch of each set."""
     filled = [s for s in sets if len(s)]
-    keys = iter(_signed(half_bands(filled, halves, rows)).tolist() if filled else [])
+    keys, sketch = half_bands(filled, halves, rows) if filled else (np.zeros((0, 0), np.uint64), [])
+    keys, sketch = iter(_signed(keys).tolist()), iter([s.tobytes() for s in sketch])
     digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))], ["n_shingles", "digest", "keys"]
+    return [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array([next(sketch) if len(s) else None for s in sets], pa.binary())], ["n_shingles", "digest", "keys", "sketch"]
 
 
 def measure(docs: DataFrame, width: int, halves: int, rows: int) -> DataFrame:
@@ -137,7 +141,7 @@ def measure(docs: DataFrame, width: int, halves: int, rows: int) -> DataFrame:
                 made, names = _measures(shingles(part.column("text").to_pylist(), width), halves, rows)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), *made], names=["id", "tag", *names])
 
-    return docs.mapInArrow(run, "id long, tag binary, n_shingles long, digest binary, keys array<long>")
+    return docs.mapInArrow(tidy(run), "id long, tag binary, n_shingles long, digest binary, keys array<long>, sketch binary")
 
 
 def unite(docs: DataFrame, width: int) -> DataFrame:
@@ -154,7 +158,7 @@ def measure_united(united: DataFrame, halves: int, rows: int) -> DataFrame:
                 made, names = _measures([np.sort(np.array(s, np.int64).view(np.uint64)) for s in part.column("shingles").to_pylist()], halves, rows)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *made], names=["id", *names])
 
-    return united.mapInArrow(run, "id long, n_shingles long, digest binary, keys array<long>")
+    return united.mapInArrow(tidy(run), "id long, n_shingles long, digest binary, keys array<long>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -166,7 +170,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(tidy(run), "id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -217,6 +221,29 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return every
 
 
+def least_alike(length: int, percent: int) -> int:
+    """Equal bytes that two sketches of ``length`` bytes have if the sets are ``percent`` alike: five deviations below the
+    mean, so that one pair in three million at that likeness has fewer."""
+    p = percent / 100
+    return max(0, int(length * p - 5 * (length * p * (1 - p)) ** 0.5))
+
+
+def perhaps_alike(sketches: np.ndarray, labels: np.ndarray, first: np.ndarray, least: int) -> np.ndarray:
+    """Whether each text has a partner of another label in the other block (``first`` tells which; one block: in it) with
+    ``least`` equal bytes of the sketch."""
+    left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if not first.all() else (np.arange(len(labels)), np.arange(len(labels)))
+    out, across = np.zeros(len(labels), bool), np.ascontiguousarray(sketches[right].T)
+    for at in range(0, len(left), 256):
+        rows = left[at : at + 256]
+        same = np.zeros((len(rows), len(right)), np.uint16)
+        for c, theirs in enumerate(across):
+            same += sketches[rows, c][:, None] == theirs[None, :]
+        near = (same >= least) & (labels[rows][:, None] != labels[right][None, :])
+        out[rows] |= near.any(axis=1)
+        out[right] |= near.any(axis=0)
+    return out
+
+
 def links_between(ids: np.ndarray, labels: np.ndarray, first: np.ndarray, sets: pa.ListArray, percent: int) -> list[tuple[int, int]]:
     """Links between two blocks of texts (``first`` tells which; one block: within it) that join different labels:
     a spanning set of them. Sizes of all intersections come from products of 0/1 matrices, a slice of shingles at a time;
@@ -257,7 +284,7 @@ def links_between(ids: np.ndarray, labels: np.ndarray, first: np.ndarray, sets:
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves: int = 16, rows: int = 3, block: int = 512, block_shingles: int = 250_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves: int = 16, rows: int = 3, block: int = 512, block_shingles: int = 250_000, wide: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id (an integer), n_shingles, component_id (least id reachable over links), kept.
 
     Two texts are linked if 100 * |intersection| >= percent * |union| of their distinct ``width``-word shingles.
@@ -269,10 +296,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
       Table keys are formed only from half-bands that some other set shares, so most sets form none.
     * In each bucket all members are compared with its head, the one that meets most others, on full sets; links give
       components. Texts that are at least 0.2 alike to common heads form clusters. What a head leaves open gets further heads,
-      until all linked pairs of a bucket are in one cluster. A cluster of one component is done. The
-      others are compared exactly, within ``block`` by ``block`` texts a task, or fewer that have about ``block_shingles``
-      shingles, which hands on a spanning set of the links that join components. So no table of pairs arises, a group of near copies of any size is split over tasks, and
-      each text is sent once for each ``block`` texts of its cluster.
+      until all linked pairs of a bucket are in one cluster. A cluster of one component is done.
+    * In the others, first sketches of a byte for each minhash are compared, ``wide`` by ``wide`` texts a task: a linked pair
+      has fewer equal bytes than ``least_alike`` with probability 0.0000003. Pages that share a template alone drop out here, at
+      a hundred bytes a text. Texts with a partner of another component are compared exactly, ``block`` by ``block`` texts a
+      task, or fewer that have about ``block_shingles`` shingles, which hands on a spanning set of the links that join
+      components. So no table of pairs arises, and a group of near copies of any size is split over tasks.
     * Components come from minima that travel along links. Buckets' minima and counts are taken before each exchange;
       no bucket is ever gathered in one task.
 
@@ -294,7 +323,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
         measured = materialise(measured.join(torn, "id", "left_anti").unionByName(whole), "minhashes")
     filled = measured.where("n_shingles > 0")
     # a set has the same keys wherever it stands; ``source`` tells a row that holds it, without tag the united one of an id
-    same = filled.groupBy("digest").agg(F.min(F.struct("id", "tag")).alias("source"), F.min("id").alias("least"), F.first("keys").alias("keys"))
+    same = filled.groupBy("digest").agg(F.min(F.struct("id", "tag")).alias("source"), F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = materialise(same.withColumn("node", F.monotonically_increasing_id()), "classes")
     keys = classes.select(F.col("node").alias("id"), F.posexplode("keys").alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -318,20 +347,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     told = compared(members, sets, percent)
     links = told.where(near).select("a", "b")
     labels = components(links)
-    # what the heads leave open: clusters of several components, compared block by block
+    # what the heads leave open: clusters of several components
     clusters = components(told.where("5 * both >= any").select("a", "b")).select("id", F.col("component").alias("cluster"))
     placed = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("cluster")
-    placed = placed.join(mixed, "cluster", "left_semi").join(sets.select("id", "size"), "id")
-    mixed = placed.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / block_shingles)).cast("int").alias("blocks"))
-    dealt = placed.join(mixed, "cluster").join(sets.select(F.col("id").alias("other_id"), "shingles"), F.col("id") == F.col("other_id")).withColumn("own", F.expr("cast(pmod(xxhash64(id), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    pairs = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "shingles")
+    mixed = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / wide).cast("int").alias("blocks")).where("low != high").select("cluster", "blocks")
+    placed = placed.join(mixed, "cluster").join(classes.select(F.col("node").alias("id"), "sketch"), "id")
+    own, other = F.expr("cast(pmod(xxhash64(id), blocks) as int)"), F.explode(F.expr("sequence(0, blocks - 1)"))
+    dealt = placed.withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
+    least = least_alike(2 * halves * rows, percent)
+
+    def sketched(key: tuple, table: pa.Table) -> pa.Table:
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        kept = perhaps_alike(sketches, table.column("component").to_numpy(), table.column("own").to_numpy() == key[1].as_py(), least)
+        return table.drop_columns(["sketch"]).filter(pa.array(kept))
+
+    closer = dealt.groupBy("cluster", "i", "j").applyInArrow(sketched, "cluster long, i int, j int, own int, id long, component long")
+    closer = materialise(closer.join(sets.select("id", "size"), "id"), "closer")
+    shares = closer.groupBy("cluster", "i", "j", "own").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / block_shingles)).cast("int").alias("parts"))
+    shares = shares.groupBy("cluster", "i", "j").agg(F.max("parts").alias("parts"))
+    cut = closer.join(shares, ["cluster", "i", "j"]).withColumn("part", F.expr("cast(pmod(xxhash64(id, 7L), parts) as int)")).withColumn("across", F.explode(F.expr("sequence(0, parts - 1)")))
+    # of two blocks each part of one meets each of the other, of one block each part each other once
+    lone = F.col("i") == F.col("j")
+    p = F.when(lone, F.least("part", "across")).when(F.col("own") == F.col("i"), F.col("part")).otherwise(F.col("across"))
+    q = F.when(lone, F.greatest("part", "across")).when(F.col("own") == F.col("i"), F.col("across")).otherwise(F.col("part"))
+    side = F.when(lone, F.col("part") == p).otherwise(F.col("own") == F.col("i"))
+    cut = cut.select("cluster", "i", "j", p.alias("p"), q.alias("q"), side.alias("first"), "id", "component").join(sets.select("id", "shingles"), "id")
 
     def linked(key: tuple, table: pa.Table) -> pa.Table:
-        found = links_between(table.column("id").to_numpy(), table.column("component").to_numpy(), table.column("own").to_numpy() == key[1].as_py(), table.column("shingles").combine_chunks(), percent)
+        found = links_between(table.column("id").to_numpy(), table.column("component").to_numpy(), table.column("first").to_numpy(), table.column("shingles").combine_chunks(), percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    more = pairs.groupBy("cluster", "i", "j").applyInArrow(linked, "a long, b long")
+    more = cut.groupBy("cluster", "i", "j", "p", "q").applyInArrow(linked, "a long, b long")
     every = materialise(links.unionByName(more), "links")
     release(spark)
     found = components(every)
