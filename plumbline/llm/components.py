@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, remove_scratch, scratch_path
+from plumbline.llm.common import materialise, meet, remove_scratch, scratch_path
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,9 +28,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         took = materialise(near.groupBy(F.col("a").alias("from")).agg(F.least(F.first("a"), F.min("b")).alias("to")), "took")
         following = scratch_path(spark, "labels")
-        labels.join(took, labels["component"] == took["from"], "left").select("id", F.coalesce("to", "component").alias("component")).write.parquet(following)
+        meet(labels, took, labels["component"] == took["from"], "left").select("id", F.coalesce("to", "component").alias("component")).write.parquet(following)
         remove_scratch(spark, path)
         path = following
-        one = edges.join(took, edges["a"] == took["from"]).select(F.col("to").alias("x"), "b")
-        two = one.join(took, one["b"] == took["from"]).select("x", F.col("to").alias("y"))
+        one = meet(edges, took, edges["a"] == took["from"]).select(F.col("to").alias("x"), "b")
+        two = meet(one, took, one["b"] == took["from"]).select("x", F.col("to").alias("y"))
         edges = materialise(two.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, release, slices, tidy
+from plumbline.llm.common import materialise, meet, release, slices, tidy
 from plumbline.llm.components import components
 
 #: Bytes of a text to word bytes: A-Z to lower case, white space (tab to carriage return, space) to a space.
@@ -177,7 +177,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a``, ``b`` with the sizes of intersection and union of their full sets."""
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-    joined = pairs.join(right, "b").join(left, "a")
+    joined = meet(meet(pairs, right, "b"), left, "a")
     return joined.select("a", "b", F.size(F.array_intersect("of_a", "of_b")).cast("long").alias("both"), (F.size("of_a") + F.size("of_b")).cast("long").alias("sum")).select("a", "b", "both", (F.col("sum") - F.col("both")).alias("any"))
 
 
@@ -196,21 +196,21 @@ def compared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         heads = rest.groupBy("table_key", part.alias("part")).agg((-F.max("rank")["back"]).alias("head")).drop("part")
         if most > 1:
             heads = materialise(heads, "heads")
-        asked = rest.join(heads, "table_key").where("id != head").withColumns({"a": F.least("id", "head"), "b": F.greatest("id", "head")})
+        asked = meet(rest, heads, "table_key").where("id != head").withColumns({"a": F.least("id", "head"), "b": F.greatest("id", "head")})
         told = materialise(_confirmed(asked.select("a", "b").distinct(), sets), "confirmed")
         tolds.append(told)
         release(spark)
-        low = materialise(asked.join(told.where("5 * both < any").select("a", "b"), ["a", "b"]).select("table_key").distinct(), "open")
+        low = materialise(meet(asked, told.where("5 * both < any").select("a", "b"), ["a", "b"]).select("table_key").distinct(), "open")
         if not low.limit(1).count():
             break
-        judged = asked.join(low, "table_key", "left_semi").join(told, ["a", "b"]).select("table_key", "id", "head", "rank", F.expr("5 * both >= any").alias("fringe"), F.expr(f"100 * both >= {120 - percent} * any").alias("core"))
+        judged = meet(meet(asked, low, "table_key", "left_semi"), told, ["a", "b"]).select("table_key", "id", "head", "rank", F.expr("5 * both >= any").alias("fringe"), F.expr(f"100 * both >= {120 - percent} * any").alias("core"))
         judged = materialise(judged, "judged")
         left = judged.groupBy("table_key", "id").agg(F.max("core").alias("core"), F.max("fringe").alias("fringe"), F.max("rank").alias("rank")).where("not core")
-        left = materialise(left.join(heads.select("table_key", F.col("head").alias("id")), ["table_key", "id"], "left_anti"), "left")
+        left = materialise(meet(left, heads.select("table_key", F.col("head").alias("id")), ["table_key", "id"], "left_anti"), "left")
         # a bucket of which one head has all that is left in its cluster is done
-        held = judged.join(left.select("table_key", "id"), ["table_key", "id"]).groupBy("table_key", "head").agg(F.min("fringe").alias("all")).where("all").select("table_key").distinct()
+        held = meet(judged, left.select("table_key", "id"), ["table_key", "id"]).groupBy("table_key", "head").agg(F.min("fringe").alias("all")).where("all").select("table_key").distinct()
         several = left.groupBy("table_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("table_key")
-        rest = left.join(several, "table_key", "left_semi").join(held, "table_key", "left_anti")
+        rest = meet(meet(left, several, "table_key", "left_semi"), held, "table_key", "left_anti")
         rest = materialise(rest.select("table_key", "id", F.struct((~F.col("fringe")).alias("far"), "rank.meets", "rank.back").alias("rank")), "rest")
         if not rest.limit(1).count():
             break
@@ -318,29 +318,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     torn = measured.where("id is not null").groupBy("id").agg(F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high")).where("low != high").select("id")
     torn, united = materialise(torn, "torn"), None
     if torn.limit(1).count():
-        united = materialise(unite(narrow.join(torn, "id", "left_semi"), width), "united")
-        whole = measured.select("id").join(measure_united(united, halves, rows), "id").withColumn("tag", F.lit(None).cast("binary"))
-        measured = materialise(measured.join(torn, "id", "left_anti").unionByName(whole), "minhashes")
+        united = materialise(unite(meet(narrow, torn, "id", "left_semi"), width), "united")
+        whole = meet(measured.select("id"), measure_united(united, halves, rows), "id").withColumn("tag", F.lit(None).cast("binary"))
+        measured = materialise(meet(measured, torn, "id", "left_anti").unionByName(whole), "minhashes")
     filled = measured.where("n_shingles > 0")
     # a set has the same keys wherever it stands; ``source`` tells a row that holds it, without tag the united one of an id
     same = filled.groupBy("digest").agg(F.min(F.struct("id", "tag")).alias("source"), F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = materialise(same.withColumn("node", F.monotonically_increasing_id()), "classes")
     keys = classes.select(F.col("node").alias("id"), F.posexplode("keys").alias("slot", "key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    live = keys.join(shared, "key").groupBy("id").agg(F.collect_list(F.when(F.col("slot") < halves, F.col("key"))).alias("one"), F.collect_list(F.when(F.col("slot") >= halves, F.col("key"))).alias("two"))
+    live = meet(keys, shared, "key").groupBy("id").agg(F.collect_list(F.when(F.col("slot") < halves, F.col("key"))).alias("one"), F.collect_list(F.when(F.col("slot") >= halves, F.col("key"))).alias("two"))
     tables = live.where("size(two) > 0").select("id", "two", F.explode("one").alias("left_key")).select("id", "left_key", F.explode("two").alias("right_key")).select("id", F.xxhash64("left_key", "right_key").alias("table_key"))
     tables = materialise(tables, "table-keys")
     sizes = tables.groupBy("table_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = materialise(tables.join(sizes, "table_key"), "held")
+    held = materialise(meet(tables, sizes, "table_key"), "held")
     rank = held.groupBy("id").agg(F.struct(F.sum("n").alias("meets"), (-F.col("id")).alias("back")).alias("rank"))
-    members = materialise(held.select("table_key", "id").join(rank, "id"), "buckets")
+    members = materialise(meet(held.select("table_key", "id"), rank, "id"), "buckets")
     nodes = rank.select("id")
-    # every size takes the same way: texts are dealt by id and tag, not sent a small table
-    sources = classes.join(nodes, classes["node"] == nodes["id"], "left_semi").select("node", F.col("source.id").alias("source_id"), F.col("source.tag").alias("source_tag"))
+    sources = meet(classes, nodes, classes["node"] == nodes["id"], "left_semi").select("node", F.col("source.id").alias("source_id"), F.col("source.tag").alias("source_tag"))
     stands = F.col("id").eqNullSafe(F.col("source_id")) & (F.col("tag") == F.col("source_tag"))
-    sets = shingle_sets(narrow.join(sources.hint("merge"), stands).select(F.col("node").alias("id"), "text"), width).dropDuplicates(["id"])
+    sets = shingle_sets(meet(narrow, sources, stands).select(F.col("node").alias("id"), "text"), width).dropDuplicates(["id"])
     if united is not None:
-        sets = sets.unionByName(united.join(sources.where("source_tag is null"), F.col("id") == F.col("source_id")).select(F.col("node").alias("id"), "shingles"))
+        sets = sets.unionByName(meet(united, sources.where("source_tag is null"), F.col("id") == F.col("source_id")).select(F.col("node").alias("id"), "shingles"))
     sets = materialise(sets.withColumn("size", F.size("shingles")), "sets")
     release(spark)
     near = F.expr(f"100 * both >= {percent} * any")
@@ -349,9 +348,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     labels = components(links)
     # what the heads leave open: clusters of several components
     clusters = components(told.where("5 * both >= any").select("a", "b")).select("id", F.col("component").alias("cluster"))
-    placed = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = meet(clusters, labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("cluster").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count(F.lit(1)) / wide).cast("int").alias("blocks")).where("low != high").select("cluster", "blocks")
-    placed = placed.join(mixed, "cluster").join(classes.select(F.col("node").alias("id"), "sketch"), "id")
+    placed = meet(meet(placed, mixed, "cluster"), classes.select(F.col("node").alias("id"), "sketch"), "id")
     own, other = F.expr("cast(pmod(xxhash64(id), blocks) as int)"), F.explode(F.expr("sequence(0, blocks - 1)"))
     dealt = placed.withColumn("own", own).withColumn("other", other)
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
@@ -363,16 +362,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
         return table.drop_columns(["sketch"]).filter(pa.array(kept))
 
     closer = dealt.groupBy("cluster", "i", "j").applyInArrow(sketched, "cluster long, i int, j int, own int, id long, component long")
-    closer = materialise(closer.join(sets.select("id", "size"), "id"), "closer")
+    closer = materialise(meet(closer, sets.select("id", "size"), "id"), "closer")
     shares = closer.groupBy("cluster", "i", "j", "own").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / block_shingles)).cast("int").alias("parts"))
     shares = shares.groupBy("cluster", "i", "j").agg(F.max("parts").alias("parts"))
-    cut = closer.join(shares, ["cluster", "i", "j"]).withColumn("part", F.expr("cast(pmod(xxhash64(id, 7L), parts) as int)")).withColumn("across", F.explode(F.expr("sequence(0, parts - 1)")))
+    cut = meet(closer, shares, ["cluster", "i", "j"]).withColumn("part", F.expr("cast(pmod(xxhash64(id, 7L), parts) as int)")).withColumn("across", F.explode(F.expr("sequence(0, parts - 1)")))
     # of two blocks each part of one meets each of the other, of one block each part each other once
     lone = F.col("i") == F.col("j")
     p = F.when(lone, F.least("part", "across")).when(F.col("own") == F.col("i"), F.col("part")).otherwise(F.col("across"))
     q = F.when(lone, F.greatest("part", "across")).when(F.col("own") == F.col("i"), F.col("across")).otherwise(F.col("part"))
     side = F.when(lone, F.col("part") == p).otherwise(F.col("own") == F.col("i"))
-    cut = cut.select("cluster", "i", "j", p.alias("p"), q.alias("q"), side.alias("first"), "id", "component").join(sets.select("id", "shingles"), "id")
+    cut = meet(cut.select("cluster", "i", "j", p.alias("p"), q.alias("q"), side.alias("first"), "id", "component"), sets.select("id", "shingles"), "id")
 
     def linked(key: tuple, table: pa.Table) -> pa.Table:
         found = links_between(table.column("id").to_numpy(), table.column("component").to_numpy(), table.column("first").to_numpy(), table.column("shingles").combine_chunks(), percent)
@@ -382,8 +381,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, halves:
     every = materialise(links.unionByName(more), "links")
     release(spark)
     found = components(every)
-    label = classes.join(found, classes["node"] == found["id"], "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
+    label = meet(classes, found, classes["node"] == found["id"], "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
     named = label.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = measured.select("id", "n_shingles", "digest").join(label.join(named, "component").select("digest", "component_id"), "digest", "left")
+    out = meet(measured.select("id", "n_shingles", "digest"), meet(label, named, "component").select("digest", "component_id"), "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))

@@ -261,3 +261,32 @@ def test_near_duplicates_behind_boilerplate(spark, seed):
     linked = [i for i, c in wanted.items() if i != c]
     assert len(linked) > 100 and np.mean([got[i] == wanted[i] for i in linked]) >= 0.99
     assert all(got[i] == i or i in linked for i in got)
+
+
+def broadcasts(spark, work):
+    """Plans with a broadcast among those that ``work`` ran; and how many it ran."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    ran = store.executionsCount()
+    work()
+    bus.waitUntilEmpty()
+    plans = store.executionsList(ran, 10_000)
+    texts = [plans.apply(i).physicalPlanDescription() for i in range(plans.size())]
+    return sum("BroadcastExchange" in t for t in texts), len(texts)
+
+
+def copies(seed=6):
+    """Copies near and exact of some texts, behind two templates, an id with two texts."""
+    rng = random.Random(seed)
+    word = lambda: str(rng.randint(0, 10**6))
+    templates = [[word() for _ in range(60)] for _ in range(2)]
+    rows = [(i, " ".join([*templates[i % 2], *[word() for _ in range(60)]])) for i in range(40)]
+    return [*rows, *[(100 + i, f"{t} end") for i, t in rows[::3]], *[(200 + i, t) for i, t in rows[::4]], (1, rows[5][1])]
+
+
+def test_near_duplicates_send_no_table_by_the_driver(spark):
+    from plumbline.llm.near_dedup import near_duplicates
+
+    docs, found = spark.createDataFrame(copies(), "doc_id long, text string").repartition(3), []
+    count, ran = broadcasts(spark, lambda: found.extend(near_duplicates(docs, width=4).collect()))
+    assert count == 0 and ran > 20 and any(not r.kept for r in found)
