@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import free_names, kept_alone, materialise
+from plumbline.llm.common import free_names, kept_alone, materialise, meet
 from plumbline.llm.decontamination import contaminated_spans
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack
@@ -37,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = docs.withColumn(row, F.monotonically_increasing_id()).orderBy(*order, F.col(row))
     keyed = materialise(placed.withColumn(row, F.monotonically_increasing_id()), "rows")
     found = near_duplicates(keyed, id_col=row).where("not kept").select(row)
-    return keyed.join(found, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return meet(keyed, found, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

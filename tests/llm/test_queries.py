@@ -290,3 +290,11 @@ def test_near_duplicates_send_no_table_by_the_driver(spark):
     docs, found = spark.createDataFrame(copies(), "doc_id long, text string").repartition(3), []
     count, ran = broadcasts(spark, lambda: found.extend(near_duplicates(docs, width=4).collect()))
     assert count == 0 and ran > 20 and any(not r.kept for r in found)
+
+
+def test_stage_near_dedup_sends_no_table_by_the_driver(spark):
+    import corpus_pipeline as p
+
+    docs, found = spark.createDataFrame(copies(8), "doc_id long, text string").repartition(3), []
+    count, ran = broadcasts(spark, lambda: found.extend(p.near_dedup(spark, docs, "").collect()))
+    assert count == 0 and ran > 20 and 0 < len(found) < len(copies(8))
