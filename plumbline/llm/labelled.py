@@ -1,4 +1,4 @@
-"""Bounded labelled samples and the fitting that the classifiers share."""
+"""Labelled rows, bounded samples of them, and the fitting that the classifiers share."""
 
 from __future__ import annotations
 
@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def training_labels(labels: DataFrame, label: str, modulus: int, held_out: int, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``most`` labelled rows whose crc32(id as text) mod ``modulus`` isn't ``held_out``: those of the least
+def training_labels(labels: DataFrame, label: str, modulus: int, held_out: int, most: int | None, id_col: str = "doc_id") -> DataFrame:
+    """All labelled rows (or at most ``most``) whose crc32(id as text) mod ``modulus`` isn't ``held_out``: if bounded, those of the least
     hashes of their id, so every input size gives a sample of one law. Rows without id or with a label other than 0
     and 1 are left out; of rows that share an id the least label counts."""
     own = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     kept = own.where(F.crc32(F.col("id").cast("string").cast("binary")) % modulus != held_out)
-    return kept.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
+    each = kept.groupBy("id").agg(F.min("y").alias("y"))
+    return each if most is None else each.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
 def held_out(id_col: str, modulus: int, remainder: int):

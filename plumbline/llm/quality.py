@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, tidy
+from plumbline.llm.common import Scratch, meet, slices, tidy
 from plumbline.llm.near_dedup import _P, word_hashes
 from plumbline.llm.labelled import held_out, sigmoid, training_labels
+from plumbline.operators.percentiles import exact_percentiles
 
 FEATURES = ("words", "chars", "word_length", "distinct", "distinct_law", "repeats", "top_word", "top_three", "bars", "exclaimed", "symbols", "digits", "upper", "capitalised", "stops", "commas", "lines", "same_lines", "short", "long", "marked", "brackets", "alike_pairs", "letters", "line_length")
 _IS = {name: np.isin(np.arange(256), list(which.encode())) for name, which in {"symbols": "#$%&*@^~=+<>{}[]\\_", "digits": "0123456789", "space": " \t\n\r\x0b\x0c"}.items()}
@@ -46,10 +47,19 @@ def features(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+#: Width of the cells in which scores are gathered: sums over pairs are off by a hundred-thousandth a pair at most.
+_CELL = 1 / 32
+
+
+def _standardised(x: np.ndarray, middle: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    z = np.clip((x - middle) / spread, -6, 6)
+    return np.concatenate([z, z * z], axis=1)
+
+
 @dataclass
 class BradleyTerry:
     """Scores of documents, ``weights`` on standardised features and their squares; ``cut`` is the score quantile
-    ``quantile`` of the labelled sample, and ``steep`` the slope by which scores become shares."""
+    ``quantile`` of the labelled rows, and ``steep`` the slope by which scores become shares."""
 
     middle: np.ndarray
     spread: np.ndarray
@@ -60,8 +70,7 @@ class BradleyTerry:
     level: float
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.middle) / self.spread, -6, 6)
-        return np.concatenate([z, z * z], axis=1) @ self.weights
+        return _standardised(x, self.middle, self.spread) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; ``level`` exactly at the cut."""
@@ -69,7 +78,7 @@ class BradleyTerry:
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, ridge: float = 1e-3, level: float = 0.7, quantile: float | None = None, seed: int = 5) -> BradleyTerry:
-    """Learn scores from ``pairs`` preference pairs, one document of label 1 over one of label 0, by the logistic
+    """Learn scores of rows at hand (``train`` takes all pairs of tables) from ``pairs`` preference pairs, one document of label 1 over one of label 0, by the logistic
     loss of feature differences (Newton steps with a ridge). The cut is a quantile of the sample's scores: ``quantile``, or
     the share of label 0 there. Without both labels all scores are ``level``."""
     middle, spread = (x.mean(axis=0), x.std(axis=0) + 1e-6) if len(x) else (np.zeros(len(FEATURES)), np.ones(len(FEATURES)))
@@ -78,8 +87,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, ridge: float = 1e-3,
     if not len(ones) or not len(zeros):
         return model
     rng = np.random.default_rng(seed)
-    z = np.clip((x - middle) / spread, -6, 6)
-    z = np.concatenate([z, z * z], axis=1)
+    z = _standardised(x, middle, spread)
     d = z[rng.choice(ones, pairs)] - z[rng.choice(zeros, pairs)]
     w = np.zeros(d.shape[1])
     for _ in range(25):
@@ -111,14 +119,106 @@ def _measured(docs: DataFrame, extra: str, kept: list[str]) -> DataFrame:
     return docs.mapInArrow(tidy(run), f"{extra}, x binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, fold: int = 2, most: int = 8_000, id_col: str = "doc_id", text_col: str = "text") -> BradleyTerry:
-    """Fit on at most ``most`` labelled documents outside the held-out fold; only their features reach the driver."""
-    sample = training_labels(labels, label, modulus, fold, most, id_col)
-    joined = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(sample), "id")
-    rows = _measured(joined.select("y", "text"), "y int", ["y"]).collect()
-    x = np.array([np.frombuffer(r["x"]) for r in rows]).reshape(-1, len(FEATURES))
-    order = np.lexsort(x.T) if len(x) else []  # whichever order the rows come in
-    return fit(x[order], np.array([r["y"] for r in rows])[order] if len(x) else np.zeros(0))
+def _summed(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows of what ``add`` gives of some labels and features: an array of ``size``, one from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += add(*_arrays(batch)).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
+
+    return sum((np.frombuffer(r["part"]) for r in rows.mapInArrow(tidy(run), "part binary").collect()), np.zeros(size))
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column("y").to_numpy(), np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(-1, len(FEATURES))
+
+
+def _cells(rows: DataFrame, model: BradleyTerry) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For label 0 and label 1: scores at the edges of cells, and the number and sums of standardised features of the rows
+    there; a row counts at both edges of its cell, at the nearer more."""
+    names = [f"v{i}" for i in range(2 * len(FEATURES) + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, x = _arrays(batch)
+            z = _standardised(x, model.middle, model.spread)
+            at = z @ model.weights / _CELL
+            edge = np.floor(at).astype(np.int64)
+            values = np.concatenate([np.ones((len(z), 1)), z], axis=1)
+            both = np.concatenate([values * (1 - at + edge)[:, None], values * (at - edge)[:, None]])
+            keys, place = np.unique(np.concatenate([edge, edge + 1]) * 2 + np.tile(y, 2), return_inverse=True)
+            sums = [np.bincount(place, c, len(keys)) for c in both.T]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *map(pa.array, sums)], names=["key", *names])
+
+    made = rows.mapInArrow(tidy(run), "key long, " + ", ".join(f"{n} double" for n in names))
+    table = np.array(made.groupBy("key").agg(*[F.sum(n) for n in names]).orderBy("key").collect(), float)
+    return [(np.floor(part[:, 0] / 2) * _CELL, part[:, 1:]) for part in (table[table[:, 0] % 2 == y] for y in (0, 1))]
+
+
+def _newton(rows: DataFrame, model: BradleyTerry, ridge: float) -> np.ndarray:
+    """The step of the weights from the logistic loss of all pairs of a row of label 1 and one of label 0. Of a pair only the
+    difference of scores counts, so each row meets the cells of the other label, and no table of pairs arises."""
+    size = 2 * len(FEATURES)
+    (at0, held0), (at1, held1) = _cells(rows, model)
+    wrong0, wrong1, curve0, curve1 = np.zeros(len(at0)), np.zeros(len(at1)), np.zeros(len(at0)), np.zeros(len(at1))
+    across = np.zeros((size, size))
+    for low in range(0, len(at1), 256):
+        part = slice(low, low + 256)
+        wrong = sigmoid(at0[None, :] - at1[part, None])
+        curve = wrong * (1 - wrong)
+        wrong1[part], curve1[part] = wrong @ held0[:, 0], curve @ held0[:, 0]
+        wrong0 += held1[part, 0] @ wrong
+        curve0 += held1[part, 0] @ curve
+        across += held1[part, 1:].T @ (curve @ held0[:, 1:])
+
+    def squares(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+        z = _standardised(x, model.middle, model.spread)
+        s = z @ model.weights
+        return (z * np.where(y == 1, np.interp(s, at1, curve1), np.interp(s, at0, curve0))[:, None]).T @ z
+
+    pairs = held0[:, 0].sum() * held1[:, 0].sum()
+    gradient = (wrong0 @ held0[:, 1:] - wrong1 @ held1[:, 1:]) / pairs + ridge * model.weights
+    own = _summed(rows, squares, size * size).reshape(size, size)
+    return np.linalg.solve((own - across - across.T) / pairs + ridge * np.eye(size), gradient)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", ridge: float = 1e-3, level: float = 0.7) -> BradleyTerry:
+    """Fit on all labelled documents outside the held-out fold: Newton steps of the loss of all their preference pairs; the
+    cut is the quantile of all their scores at the share of label 0. The features stay in a scratch table (200 bytes a
+    document), which each step reads twice; sums alone reach the driver, which don't grow with the input. Weights are
+    rounded, as sums hang on the order of rows in their last digits. Without both labels all scores are ``level``."""
+    key = F.col(f"`{id_col}`")
+    learned = docs.select(key.alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(key.isNotNull() & ~held_out(f"`{id_col}`", modulus, fold))
+    measured = _measured(learned, f"id {learned.schema['id'].dataType.simpleString()}", ["id"])
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.keep(meet(measured, training_labels(labels, label, modulus, fold, None, id_col), "id").select("y", "x"), "labelled")
+    size = len(FEATURES)
+    n, ones, *sums = _summed(rows, lambda y, x: np.concatenate([[len(y), y.sum()], x.sum(axis=0)]), size + 2)
+    middle = np.round(np.array(sums) / max(1, n), 9)
+    spread = np.round(np.sqrt(_summed(rows, lambda _, x: ((x - middle) ** 2).sum(axis=0), size) / max(1, n)), 9) + 1e-6
+    model = BradleyTerry(middle, spread if n else np.ones(size), np.zeros(2 * size), 0.0, 0.0, 1.0, level)
+    if 0 < ones < n:
+        for _ in range(25):
+            step = _newton(rows, model, ridge)
+            model.weights = model.weights - step
+            if np.abs(step).max() < 1e-5:
+                break
+        model.weights = np.round(model.weights, 9)
+
+        def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(model.latent(_arrays(batch)[1]))], names=["s"])
+
+        latent = scratch.keep(rows.mapInArrow(tidy(scores), "s double"), "latent")
+        model.quantile = float((n - ones) / n)
+        # as many rows are below the cut as have label 0: between two ranks, of 0 to n - 1
+        model.cut = exact_percentiles(latent, {"cut": (F.col("s"), [(n - ones - 0.5) / (n - 1)])})["cut"][0]
+        model.steep = float(1.0 / (round(latent.agg(F.avg(F.abs(F.col("s") - model.cut))).first()[0], 9) / 2 + 1e-9))
+        scratch.drop("latent")
+    scratch.drop("labelled")
+    return model
 
 
 def score_quality(docs: DataFrame, model: BradleyTerry, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:

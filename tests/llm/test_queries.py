@@ -298,3 +298,27 @@ def test_stage_near_dedup_sends_no_table_by_the_driver(spark):
     docs, found = spark.createDataFrame(copies(8), "doc_id long, text string").repartition(3), []
     count, ran = broadcasts(spark, lambda: found.extend(p.near_dedup(spark, docs, "").collect()))
     assert count == 0 and ran > 20 and 0 < len(found) < len(copies(8))
+
+
+def test_quality_learns_from_all_labelled_rows(spark):
+    """More rows than the former bound of 8,000: the loss of all pairs has no slope left at the weights, the cut is the
+    quantile of all scores."""
+    from plumbline.llm import quality
+
+    rng = random.Random(12)
+    text = lambda good: " ".join(rng.choice(["alpha", "Beta", "gamma,", "of", "12"] if rng.random() < (0.6 if good else 0.4) else ["x", "to.", "UP", "of"]) for _ in range(12))
+    rows = [(i, text(i % 5), int(i % 5 > 0)) for i in range(12_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    model = quality.train(docs, spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    x, y = quality.features([t for _, t, _ in learned]), np.array([y for *_, y in learned])
+    assert len(learned) > 8_500 and np.allclose(model.middle, x.mean(axis=0)) and np.allclose(model.spread, x.std(axis=0) + 1e-6)
+    z = np.clip((x - model.middle) / model.spread, -6, 6)
+    z = np.concatenate([z, z * z], axis=1)
+    s = z @ model.weights
+    ones, zeros, slope = z[y == 1], z[y == 0], 1e-3 * model.weights
+    for part in np.array_split(np.arange(len(ones)), 50):
+        wrong = 1 / (1 + np.exp(s[y == 1][part][:, None] - s[y == 0][None, :]))
+        slope = slope + (wrong.sum(axis=0) @ zeros - wrong.sum(axis=1) @ ones[part]) / len(ones) / len(zeros)
+    assert np.abs(slope).max() < 1e-4 < np.abs(model.weights).max()
+    assert (s < model.cut).sum() == (y == 0).sum() or np.isclose(np.sort(s)[(y == 0).sum() - 1], model.cut)
