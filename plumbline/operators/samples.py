@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.literals import STRINGS, col
 from plumbline.operators.rules import AllowedValues, Compare, ConditionalNotNull, ConditionalRange, DisallowedValues, Length, NotNull, Range, Rule, Unique, _Text
+from plumbline.sources.datasets import shared_folder
 
 UNAVAILABLE = {"passed": "the rule passed", "no_rows": "the rule isn't about rows", "config": "the rule can't be evaluated", "budget": "the sample budget was used up"}
 
@@ -63,14 +64,41 @@ def positioned(df: DataFrame) -> DataFrame:
 
 def sample_many(df: DataFrame, rules: Sequence[Rule], n: int = 5) -> DataFrame:
     """Failing rows of many rules of rows in one scan: each row with the ids of the rules that it violates, exploded to
-    ``_rule_id``, at most ``n`` a rule."""
+    ``_rule_id``, at most ``n`` a rule, the first of the scan. Where ``n`` is more than Spark cuts before a shuffle, the rows
+    are counted first, by a scan of its own, and cut without a rule's rows meeting in one task."""
     masks = [(r.rule_id, m) for r in rules if not isinstance(r, Unique) and (m := r.sample_mask(df.schema)) is not None]
     ids = F.filter(F.array(*[F.when(m, F.lit(i)) for i, m in masks]), lambda x: x.isNotNull())
     each = df.withColumn("_rules", ids).where(F.size("_rules") > 0).withColumn("_rule_id", F.explode("_rules")).drop("_rules")
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return _first_of_many(each, n)
     placed = each.withColumn("_at", F.monotonically_increasing_id())
     return placed.withColumn("_n", F.row_number().over(Window.partitionBy("_rule_id").orderBy("_at"))).where(F.col("_n") <= n).drop("_n", "_at")
 
 
+#: Places of a block, as a power of two: of a rule, no more rows than that are ranked.
+BLOCK_BITS = 16
+
+
+def _first_of_many(each: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows of each ``_rule_id``. If a rule has more, the rows are kept in the shared folder, as their places
+    must not change between the passes; the block where a rule's first row too many stands is found by counts, its place by
+    ranks, and the rows before it by a filter."""
+    if each.groupBy("_rule_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n).isEmpty():
+        return each
+    context = each.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(each.sparkSession))
+    placed = each.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    rule, at, block = F.col("_rule_id"), F.col("_at"), F.shiftright("_at", BLOCK_BITS)
+    of_rule = lambda values: F.coalesce(*[F.when(rule == k, F.lit(v)) for k, v in values.items()], F.lit(None))
+    counts = placed.groupBy("_rule_id", block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("_rule_id").orderBy("block")) - F.col("n")
+    last = counts.withColumn("before", before).where((F.col("before") <= n) & (F.col("before") + F.col("n") > n)).collect()
+    ranked = placed.where(block == of_rule({r["_rule_id"]: r["block"] for r in last})).select("_rule_id", "_at", F.row_number().over(Window.partitionBy("_rule_id").orderBy("_at")).alias("n"))
+    ends = ranked.where(F.col("n") == of_rule({r["_rule_id"]: n - r["before"] + 1 for r in last})).collect()
+    return placed.where(F.coalesce(at < of_rule({r["_rule_id"]: r["_at"] for r in ends}), F.lit(True))).drop("_at")
+
+
 def top_values(df: DataFrame, column: str, mask=None, n: int = 10) -> DataFrame:
     """The ``n`` most frequent values that aren't null among the rows of ``mask``; ties by value."""
     rows = df.where(col(column).isNotNull() if mask is None else mask & col(column).isNotNull())

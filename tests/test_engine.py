@@ -172,6 +172,21 @@ def test_samples(spark, users):
     assert {r["_rule_id"] for r in samples.sample_many(df, build_rules([pl.rule("not_null", column="s"), pl.rule("range", column="user_id", min=50)]), 3).collect()} == {"COL:s:not_null", "COL:user_id:range"}
 
 
+def test_many_samples_are_cut_without_gathering_a_rule(spark):
+    df = spark.range(0, 200_000, 1, 4).selectExpr("id", "if(id % 2 = 0, null, id) AS x", "id AS n")
+    rules = build_rules([pl.rule("not_null", column="x"), pl.rule("range", column="id", min=20_000)])
+    wanted = {"COL:x:not_null": range(0, 200_000, 2), "COL:id:range": range(20_000)}
+    for n in (1001, 19_999, 20_000, 70_000, 1 << 30):
+        got = {}
+        for r in samples.sample_many(df, rules, n).select("id", "_rule_id", F.spark_partition_id()).collect():
+            got.setdefault(r[1], []).append((r[0], r[2]))
+        assert {k: sorted(x for x, _ in v) for k, v in got.items()} == {k: list(v[:n]) for k, v in wanted.items()}
+        # the first 70,000 rows of x stand in three of the four parts of the table
+        assert len({part for _, part in got["COL:x:not_null"]}) == {70_000: 3, 1 << 30: 4}.get(n, 1)
+    mixed = samples.sample_many(df.repartition(3), rules, 30_000).groupBy("_rule_id").agg(F.count_distinct("id").alias("ids"), F.count(F.lit(1)).alias("rows"))
+    assert {tuple(r) for r in mixed.collect()} == {("COL:x:not_null", 30_000, 30_000), ("COL:id:range", 20_000, 20_000)}
+
+
 def test_custom_rules(spark, users):
     @pl.register_rule("even")
     class Even(pl.Rule):
